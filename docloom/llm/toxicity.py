@@ -35,9 +35,9 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 @dataclass(frozen=True)
 class FMParams:
     #: Most labelled rows that are fitted (a documented bound; chosen by a hash of the id).
-    max_rows: int = 16_000
+    max_rows: int = 8_192
     #: Hash space of the terms.
-    bits: int = 24
+    bits: int = 23
     #: Most terms with weights, and how many keep them even if chance could explain them.
     n_terms: int = 4_096
     least_terms: int = 16
@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "do
             )
 
     got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(hashed, "h long, y int, terms binary").orderBy("h", "y", "terms").limit(params.max_rows).collect()
-    return train([np.frombuffer(r.terms, "<i4").astype(np.int64) for r in got], np.array([float(r.y > 0) for r in got]), params)
+    return train([np.frombuffer(r.terms, "<i4") for r in got], np.array([float(r.y > 0) for r in got]), params)
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams()) -> FMModel:
@@ -140,22 +140,23 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     if not len(y) or y.min() == y.max():
         return none if not len(y) or y.max() == 0 else FMModel(none.terms, 35.0, none.w, none.v)
     pos, neg = y.sum(), len(y) - y.sum()
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = np.concatenate(docs) if len(row) else np.zeros(0, np.int64)
-    terms, ids = np.unique(flat, return_inverse=True)
     # informative terms: likelihood ratio (G squared) of term presence against the label, beyond
     # what the strongest of so many unrelated terms would reach by chance
-    a = np.bincount(ids, y[row], len(terms))
-    b = np.bincount(ids, 1 - y[row], len(terms))
-    worth = _g2(a, pos, b, neg)
+    counts = np.zeros((2, 1 << params.bits), np.int32)
+    for d, label in zip(docs, y):
+        counts[int(label), d] += 1  # a document holds a term once
+    seen = np.flatnonzero(counts.sum(0) >= 2)
+    worth = _g2(counts[1, seen].astype(float), pos, counts[0, seen].astype(float), neg)
     best = np.argsort(-worth, kind="stable")[: params.n_terms]
-    chance = 2 * math.log(max(2, len(terms)))
-    best = best[(worth[best] >= chance) | (np.arange(len(best)) < params.least_terms)]
-    best = np.sort(best[worth[best] > 0])
-    place = np.full(len(terms), -1)
-    place[best] = np.arange(len(best))
-    keep = place[ids] >= 0
-    ids, row, terms = place[ids[keep]], row[keep], terms[best]
+    chance = 2 * math.log(max(2, np.count_nonzero(counts.any(0))))
+    best = best[(worth[best] > 0) & ((worth[best] >= chance) | (np.arange(len(best)) < params.least_terms))]
+    terms = np.sort(seen[best])
+    del counts, worth
+    known = np.zeros(1 << params.bits, bool)
+    known[terms] = True
+    kept = [d[known[d]] for d in docs]
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in kept])
+    ids = np.searchsorted(terms, np.concatenate(kept))
     rng = np.random.default_rng(params.seed)
     w0, w, v = math.log(pos / neg), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), params.rank))
     g0, gw, gv = 1e-8, np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)
