@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import tables
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bagminhash import near_duplicates
+
+    return near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import round_trip
 
