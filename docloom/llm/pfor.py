@@ -31,8 +31,15 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(rows: np.ndarray, width: int) -> np.ndarray:
-    bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    if width > 25:  # a value may lie in five bytes
+        bits = np.unpackbits(rows, axis=1, bitorder="little").reshape(len(rows), BLOCK, width)
+        return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(2, dtype=np.uint32)
+    at = np.arange(BLOCK) * width
+    wide = np.zeros((len(rows), rows.shape[1] + 3), np.uint32)
+    wide[:, : rows.shape[1]] = rows
+    # the 32 bits that start at each byte, then those of each value
+    word = wide[:, :-3] | wide[:, 1:-2] << np.uint32(8) | wide[:, 2:-1] << np.uint32(16) | wide[:, 3:] << np.uint32(24)
+    return (word[:, at >> 3] >> (at & 7).astype(np.uint32)) & np.uint32((1 << width) - 1)
 
 
 def write(values: np.ndarray, ids: np.ndarray, is_null: np.ndarray, lengths: np.ndarray, percentile: float = 90.0) -> bytes:

@@ -8,7 +8,9 @@ lost executor replaces it with the same file.  The manifest lists the files of s
 
 Encoding: the vocabulary lower-cases and drops white space, and no rule of its normaliser,
 pre-tokeniser or special tokens reaches across ASCII white space, so each run of other characters
-is encoded alone and distinct runs go through a bounded memo.
+is encoded alone and distinct runs go through a bounded memo.  A full stop or comma between a
+letter and white space is a pre-token of its own, so it is cut off first.  What the memo lacks goes
+to the library in long texts, with a separator whose token tells the runs apart.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; a repeated id is a
 document for each row, ordered by text.
@@ -17,6 +19,7 @@ document for each row, ordered by text.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -35,31 +38,65 @@ def default_tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+#: A run that ends with a stop or comma behind an ASCII or Latin-1 small letter.
+_STOPPED = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])[.,]\Z")
+_SEPARATOR = "\x01"
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers; one per worker."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.done: dict[bytes, bytes] = {}
+        self.mark = self._ids(_SEPARATOR)
+        self.stops = {ord(c): np.array(self._ids(c), "<u4").tobytes() for c in ".,"}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def runs(text: bytes) -> list[bytes]:
+        """The pieces that are encoded alone.  Where a special token may be spelled out, as it stands."""
+        return text.split() if b"<|" in text else text.lower().split()
+
+    def fresh(self, runs: set[bytes]) -> dict[bytes, bytes]:
+        done, out, stopped, plain = self.done, {}, [], set()
+        for r in runs:
+            if r[-1] in b".," and _STOPPED.search(r) and b"<|" not in r:
+                stopped.append(r)
+                r = r[:-1]
+            if b"\x01" in r or len(self.mark) != 1:
+                out[r] = np.array(self._ids(r.decode("utf-8", "replace")), "<u4").tobytes()
+            elif r not in done:
+                plain.add(r)
+        todo = list(plain)
+        for i in range(0, len(todo), 500):
+            part = todo[i : i + 500]
+            ids = np.array(self._ids(f" {_SEPARATOR} ".join([r.decode("utf-8", "replace") for r in part])), "<u4")
+            ends = (4 * np.flatnonzero(ids == self.mark[0])).tolist()
+            data = ids.tobytes()
+            for r, a, z in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True):
+                out[r] = data[a:z]
+        for r in stopped:
+            core = r[:-1]
+            out[r] = (out[core] if core in out else done[core]) + self.stops[r[-1]]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        done = self.done
-        missing = list(set().union(*cut) - done.keys()) if cut else []
-        new: dict[bytes, bytes] = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                new[w] = np.array(e.ids, "<u4").tobytes()
-        if len(done) + len(new) <= self.limit:
-            done.update(new)
-            return [b"".join(map(done.__getitem__, words)) for words in cut]
-        for w in missing[: max(0, self.limit - len(done))]:
-            done[w] = new.pop(w)
-        return [b"".join([done[w] if w in done else new[w] for w in words]) for words in cut]
+        cut = [self.runs(t) for t in texts]
+        get = self.done.get
+        found = [list(map(get, runs)) for runs in cut]
+        missing = {r for runs, got in zip(cut, found) if None in got for r, x in zip(runs, got) if x is None}
+        new = self.fresh(missing)
+        out = [b"".join([new[r] if x is None else x for r, x in zip(runs, got)] if None in got else got) for runs, got in zip(cut, found)]
+        room = self.limit - len(self.done)
+        if room > 0:
+            self.done.update(new if len(new) <= room else dict(list(new.items())[:room]))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
