@@ -40,21 +40,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser, elementwise."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
+    """The splitmix64 finaliser, elementwise (two buffers, whatever the number of steps)."""
+    x = x.copy()
+    t = x >> np.uint64(30)
+    x ^= t
+    x *= _MIX1
+    np.right_shift(x, np.uint64(27), out=t)
+    x ^= t
+    x *= _MIX2
+    np.right_shift(x, np.uint64(31), out=t)
+    x ^= t
+    return x
+
+
+def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two runs put together, from their hashes; the order counts."""
+    x = a * _GOLD
+    x += b
+    return mix64(x)
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive word hashes; empty if there are fewer."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """Hashes of all runs of k consecutive word hashes, by doubling; empty if there are fewer."""
+    if len(h) < k:
         return h[:0]
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = mix64((out + _GOLD) ^ h[j : j + n])
-    return out
+    if k == 1:
+        return mix64(h)
+    half = window_hashes(h, k // 2)
+    n = k // 2
+    out = join_hashes(half[: len(half) - n], half[n:])
+    return out if k % 2 == 0 else join_hashes(out[: len(h) - k + 1], h[k - 1 :])
 
 
 class WordHashes(dict):

@@ -12,7 +12,7 @@ theirs, so about an eighth of the rows travel at the first level.  A run seen tw
 known to repeat there; otherwise one row (hash, document) goes to the hash's partition, so a run
 that a third of all documents hold gives a row a slice, not a row a document.  At full length the
 first occurrence is kept: a slice marks what it can see itself and sends its own first; a rank over
-those (128-bit hashes) finds the others.  Texts are shuffled once, by id: all levels and the last
+those (96-bit hashes) finds the others.  Texts are shuffled once, by id: all levels and the last
 pass read that one exchange.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose none; rows with
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, slices, text_bytes, window_hashes
+from .common import WordHashes, join_hashes, mix64, slices, text_bytes, window_hashes
 
 _NO_ID = -(2**63)
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -63,26 +63,35 @@ class Slice:
         self.h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.sizes.sum()))
         self.first = np.cumsum(self.sizes) - self.sizes
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        self.window = window
+        self.window, self.known = window, {}
         # starts of windows that end inside their document
         n = max(0, len(self.h) - window + 1)
         start = np.arange(n)
         self.start = start[self.doc[:n] == self.doc[window - 1 : window - 1 + n]]
 
-    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all runs of ``length`` words; for each window the place of its run."""
-        runs = window_hashes(self.h, length)
-        return runs, sliding_argmin(runs, self.window - length + 1)[self.start]
+    def runs(self, length: int) -> np.ndarray:
+        """Hashes of all runs of ``length`` words; those of the next length are joined from them."""
+        if length not in self.known:
+            half = self.known.get(length // 2) if length % 2 == 0 else None
+            n = length // 2
+            self.known = {length: window_hashes(self.h, length) if half is None else join_hashes(half[: max(0, len(half) - n)], half[n:])}
+        return self.known[length]
+
+    def anchors(self, length: int) -> np.ndarray:
+        """For each window the place of the run that stands for it; ascends within a document."""
+        return sliding_argmin(self.runs(length), self.window - length + 1)[self.start]
 
     def survivors(self, length: int, repeated: list[np.ndarray]) -> None:
         """Keep the windows whose run at ``length`` is among the repeated ones of their document."""
         if not len(self.start):
             return
-        runs, at = self.anchors(length)
+        at = self.anchors(length)
+        first = np.flatnonzero(np.diff(at, prepend=-1))  # neighbours share their run
+        one = at[first]
         doc = np.repeat(np.arange(len(repeated)), [len(r) for r in repeated]).astype(np.uint64)
-        known = mix64(np.concatenate([*repeated, np.zeros(0, np.uint64)]) ^ mix64(doc + _SALT))
-        mine = mix64(runs[at] ^ mix64(self.doc[at].astype(np.uint64) + _SALT))
-        self.start = self.start[np.isin(mine, known)]
+        known = join_hashes(doc, np.concatenate([*repeated, np.zeros(0, np.uint64)]))
+        stays = np.isin(join_hashes(self.doc[one].astype(np.uint64), self.runs(length)[one]), known)
+        self.start = self.start[np.repeat(stays, np.diff(first, append=len(at)))]
 
 
 def _ids(column) -> np.ndarray:
@@ -110,9 +119,9 @@ def _level(rows: DataFrame, length: int, shorter: int | None, window: int) -> Da
                     s.survivors(shorter, [_repeated(k, p) for k, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
                 if not len(s.start):
                     continue
-                runs, at = s.anchors(length)
-                at = np.unique(at)
-                value, doc = runs[at], s.doc[at]
+                at = s.anchors(length)
+                at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+                value, doc = s.runs(length)[at], s.doc[at]
                 u, inverse, count = np.unique(value, return_inverse=True, return_counts=True)
                 often = count[inverse] >= 2
                 single = ~often
@@ -131,7 +140,7 @@ def _level(rows: DataFrame, length: int, shorter: int | None, window: int) -> Da
                         pa.array(key),
                         pa.array(who, mask=np.concatenate([np.zeros(n1, bool), np.ones(n2, bool), np.zeros(n3, bool)])),
                         pa.array(np.concatenate([np.ones(n1, np.int32), np.full(n2 + n3, 2, np.int32)])),
-                        pa.array([None] * (n1 + n2) + packed, pa.binary()),
+                        pa.concat_arrays([pa.nulls(n1 + n2, pa.binary()), pa.array(packed, pa.binary())]),
                     ],
                     ["k", "did", "n", "pack"],
                 )
@@ -157,6 +166,7 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
 
         for whole in batches:
             for b in slices(whole, "text", 16 << 20):
+                b = b.take(pa.array(np.argsort(_ids(b.column(0)), kind="stable")))
                 texts = text_bytes(b.column(1))
                 s = Slice(texts, hashes, window)
                 did = _ids(b.column(0))
@@ -165,17 +175,26 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
                 if not len(s.start):
                     continue
                 at, doc = s.start, s.doc[s.start]
-                one, two = window_hashes(s.h, window)[at], window_hashes(mix64(s.h + _SALT), window)[at]
+                n = window // 2
+                left, right = (s.runs(n)[at], s.runs(n)[at + n]) if window % 2 == 0 else (s.h[at], s.runs(window)[at])
+                one = join_hashes(left, right)
+                two = (join_hashes(right, left) >> np.uint64(33)).astype(np.int32)
                 pos, who = at - s.first[doc], did[doc]
-                order = np.lexsort((pos, who, two, one))
-                new = np.ones(len(order), bool)
+                # windows stand in the order of ids and places, which stable sorting keeps
+                order = np.argsort(one, kind="stable")
                 o, t = one[order], two[order]
-                new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
+                same = o[1:] == o[:-1]
+                if (same & (t[1:] != t[:-1])).any():
+                    order = np.lexsort((two, one))
+                    o, t = one[order], two[order]
+                    same = o[1:] == o[:-1]
+                new = np.ones(len(order), bool)
+                new[1:] = ~same | (t[1:] != t[:-1])
                 lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
                 # the first of its sequence in this slice; equal rows of one document are both first
                 first = np.zeros(len(order), bool)
                 first[order] = (who[order] == who[lead]) & (pos[order] == pos[lead])
-                text_id = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
+                text_id = np.array([xxhash.xxh32_intdigest(x) for x in texts], np.uint32).view(np.int32)
                 marked, owners = [], []
                 later = np.flatnonzero(~first)
                 if len(later):
@@ -188,16 +207,16 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([one[f].view(np.int64), mix64(did[owners].view(np.uint64) + _SALT).view(np.int64)])),
-                        pa.array(np.concatenate([two[f].view(np.int64), np.full(m, -1)])),
+                        pa.array(np.concatenate([two[f], np.full(m, -1, np.int32)])),
                         pa.array(np.concatenate([who[f], did[owners]])),
                         pa.array(np.concatenate([text_id[doc[f]], text_id[owners]])),
                         pa.array(np.concatenate([pos[f], np.full(m, -1)]).astype(np.int32)),
-                        pa.array([None] * n + marked, pa.binary()),
+                        pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(marked, pa.binary())]),
                     ],
                     ["h1", "h2", "did", "text_id", "pos", "pack"],
                 )
 
-    sent = rows.mapInArrow(run, "h1 long, h2 long, did long, text_id long, pos int, pack binary")
+    sent = rows.mapInArrow(run, "h1 long, h2 int, did long, text_id int, pos int, pack binary")
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("did", "pos"))
     kept = sent.withColumn("rank", rank).filter("rank > 1 or pack is not null")
     return kept.groupBy("did").agg(F.collect_list(F.struct("text_id", "pos", "pack")).alias("marks"))
@@ -208,7 +227,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
     levels = [window]
     while levels[0] // 2 >= shortest:
         levels.insert(0, levels[0] // 2)
-    base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("did"), docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    base = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("did"), docs[text_col].alias("text"))
+    kind = dict(docs.dtypes)[id_col]
 
     def with_info(info: DataFrame, *columns: str) -> DataFrame:
         info = info.withColumnRenamed("did", "of")
@@ -218,7 +238,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
     for length in levels[:-1]:
         rows, shorter = with_info(_level(rows, length, shorter, window), "keys", "packs"), length
     marks = _later(rows, shorter, window).withColumnRenamed("did", "of")
-    final = base.join(marks, base["did"] == marks["of"], "left").select("doc_id", "text", "marks")
+    # the same columns as in the levels' joins, so that all of them read one exchange
+    final = base.join(marks, base["did"] == marks["of"], "left").select(F.nullif("did", F.lit(_NO_ID)).cast(kind).alias("doc_id"), "text", "marks")
 
     def run(batches):
         import xxhash
@@ -230,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
                     words = t.split()
                     gone = np.zeros(len(words) + 1, np.int64)
                     if marks:
-                        me = int(np.uint64(xxhash.xxh3_64_intdigest(t)).astype(np.int64))
+                        me = int(np.uint32(xxhash.xxh32_intdigest(t)).astype(np.int32))
                         for x in marks:
                             if x["text_id"] != me:
                                 continue
@@ -257,4 +278,4 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return final.mapInArrow(run, f"doc_id {dict(base.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return final.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
