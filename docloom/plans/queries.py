@@ -8,7 +8,7 @@ import zlib
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..backends import FakeOcr
@@ -119,6 +119,10 @@ def chunk_structural(spark, sf_dir):
     return flat(chunk(heading_blocks(spark, sf_dir), ChunkConfig("structural", max_chars=1_000_000_000, context_window=60)))
 
 
+def chunk_structural_packed(spark, sf_dir):
+    return flat(chunk(heading_blocks(spark, sf_dir), ChunkConfig("structural", max_chars=4000, context_window=60)))
+
+
 def chunk_structural_long(spark, sf_dir):
     return flat(chunk(heading_blocks(spark, sf_dir), ChunkConfig("structural", max_chars=400, context_window=60)))
 
@@ -143,7 +147,7 @@ def chunk_auto(spark, sf_dir):
 
 def auto_choice(spark, sf_dir):
     b = document_blocks(spark, sf_dir).select("doc_id", "block_index", "text", "source")
-    t = order_tables(spark, sf_dir).select((-F.col("doc_id")).alias("doc_id"), "block_index", F.concat("text", F.lit("\n"), F.repeat(F.lit("x"), F.lit(9000))).alias("text"), "source")
+    t = order_tables(spark, sf_dir).select((-1 - F.col("doc_id")).alias("doc_id"), "block_index", F.concat("text", F.lit("\n"), F.repeat(F.lit("x"), F.lit(9000))).alias("text"), "source")
     return auto_strategy(b.unionByName(t)).select("doc_id", "strategy")
 
 
@@ -320,7 +324,7 @@ def _facts(prompt: Column, text: Column) -> Column:
     """Status of the first order in a table's piece, and how many rows it has."""
     return F.to_json(
         F.struct(
-            F.regexp_extract(text, r"\| (\w) \|", 1).alias("status"),
+            F.regexp_extract(text, r"(?m)^\| \d+ \| (\w) \|", 1).alias("status"),
             F.regexp_count(text, F.lit(r"(?m)^\| \d+ ")).alias("count"),
             F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\| (\d+) "), F.lit(1)), lambda x: F.struct(x.alias("line"))).alias("items"),
         )
@@ -378,7 +382,9 @@ def _order_rows(spark, sf_dir) -> DataFrame:
         F.array(item).alias("items"),
         F.struct(F.col("l_linestatus").alias("status"), (F.col("l_linenumber") > 2).alias("late")).alias("inner"),
     )
-    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("index"), data.alias("data"))
+    # line numbers repeat within an order, and an extraction's index must not
+    index = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), index.alias("index"), data.alias("data"))
 
 
 def _flat_merge(r: DataFrame) -> DataFrame:
@@ -457,7 +463,7 @@ def events(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        detect_documents, detect_names, chunk_sliding, chunk_none, chunk_page, chunk_row, chunk_row_tables, chunk_structural, chunk_structural_long, chunk_sentence, sentence_slices, chunk_auto, auto_choice,
+        detect_documents, detect_names, chunk_sliding, chunk_none, chunk_page, chunk_row, chunk_row_tables, chunk_structural, chunk_structural_packed, chunk_structural_long, chunk_sentence, sentence_slices, chunk_auto, auto_choice,
         chunk_context, chunk_custom, normalize_text, csv_native, csv_parsed, html_text, html_tables, email_text, xlsx_sheets, docx_markdown, pdf_text, image_ocr, normalize_errors, prompt_build, schema_extract,
         error_policy, vision_extract, merge_concat, merge_first, merge_dedupe_first, merge_dedupe_last, merge_markdown, merge_custom, chain_markdown, chain_orders, events,
     )
