@@ -89,6 +89,87 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * _GOLD)
+_BASE = 0xD1342543DE82EF95
+_SPACE_BYTE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, base, np.uint64)
+            p[0] = 1
+            _powers[k] = np.multiply.accumulate(p)
+    return _powers[0], _powers[1]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def cut_words(column: pa.Array, part: int = 1 << 19, lower: bool = False):
+    """(hashes, words of each value, starts, ends, bytes) of the words of a string column.
+
+    Taken straight from the column's buffers: a word's hash is a polynomial over random values of
+    its bytes, got from prefix sums over about ``part`` bytes at a time and mixed with its length,
+    so no word becomes a Python object.  ``lower`` takes A-Z for a-z."""
+    none = np.zeros(0, np.int64)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint8)
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    size = int(at[-1] - at[0])
+    if not size:
+        return none.astype(np.uint64), np.zeros(len(column), np.int64), none, none, none.astype(np.uint8)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    if lower:
+        raw = _LOWER[raw]
+    edges = at - at[0]
+    inside = np.zeros(size + 1, bool)
+    inside[:size] = ~_SPACE_BYTE[raw]
+    # a word starts behind white space or with its value, and ends before white space or the next value
+    starts = inside[:size].copy()
+    starts[1:] &= ~inside[: size - 1]
+    ends = inside[:size] & ~inside[1:]
+    filled = edges[:-1] < edges[1:]
+    first, last = edges[:-1][filled], edges[1:][filled] - 1
+    starts[first] = inside[first]
+    ends[last] = inside[last]
+    a, z = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    out, k = np.empty(len(a), np.uint64), 0
+    while k < len(a):
+        m = max(k + 1, int(np.searchsorted(a, a[k] + part)))
+        lo, hi = int(a[k]), int(z[m - 1])
+        power, inverse = _powers_to(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_TABLE[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
+        out[k:m] = (sums[z[k:m] - lo] - sums[a[k:m] - lo]) * inverse[a[k:m] - lo]
+        k = m
+    counts = np.diff(np.searchsorted(a, edges))
+    return mix64(out + (z - a).astype(np.uint64) * _GOLD), counts, a, z, raw
+
+
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, words of each value) of a string column."""
+    return cut_words(column)[:2]
+
+
+def number_lists(column: pa.Array, kind) -> list[np.ndarray]:
+    """The values of a list column as arrays (empty for null), without Python numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offsets = np.asarray(column.offsets)
+    values = np.asarray(column.values)
+    empty = np.zeros(0, kind)
+    valid = np.asarray(column.is_valid())
+    return [values[offsets[i] : offsets[i + 1]].astype(kind, copy=False) if valid[i] else empty for i in range(len(column))]
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value of a string column, b'' for null."""
     if isinstance(column, pa.ChunkedArray):

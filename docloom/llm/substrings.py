@@ -23,14 +23,13 @@ rows without id are one document, before all others.
 from __future__ import annotations
 
 import hashlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, join_hashes, mix64, slices, text_bytes, window_hashes
+from .common import hashed_words, join_hashes, mix64, number_lists, slices, text_bytes, window_hashes
 
 _NO_ID = -(2**63)
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -57,12 +56,10 @@ def sliding_argmin(a: np.ndarray, width: int) -> np.ndarray:
 class Slice:
     """The words of a slice of documents in one array, with what windows need."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int):
-        self.words = [t.split() for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.sizes.sum()))
-        self.first = np.cumsum(self.sizes) - self.sizes
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+    def __init__(self, texts: pa.Array, window: int):
+        self.h, sizes = hashed_words(texts)
+        self.first = np.cumsum(sizes) - sizes
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
         self.window, self.known = window, {}
         # starts of windows that end inside their document
         n = max(0, len(self.h) - window + 1)
@@ -98,10 +95,9 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False), np.int64)
 
 
-def _repeated(keys, packs) -> np.ndarray:
-    """Repeated runs of one document: single hashes and packed ones."""
-    parts = [np.array(keys or [], np.int64).view(np.uint64), *(np.frombuffer(p, np.uint64) for p in packs or [])]
-    return np.concatenate(parts)
+def _repeated(keys: pa.Array, packs: pa.Array) -> list[np.ndarray]:
+    """Repeated runs of each document: single hashes and packed ones."""
+    return [np.concatenate([k.view(np.uint64), *(np.frombuffer(x, np.uint64) for x in p or ())]) for k, p in zip(number_lists(keys, np.int64), packs.to_pylist())]
 
 
 def _level(rows: DataFrame, length: int, shorter: int | None, window: int) -> DataFrame:
@@ -110,13 +106,12 @@ def _level(rows: DataFrame, length: int, shorter: int | None, window: int) -> Da
     ``rows`` has (did, text), and from the second level on keys and packs of the level before."""
 
     def run(batches):
-        hashes = WordHashes()
         for whole in batches:
             for b in slices(whole, "text", 16 << 20):
-                s = Slice(text_bytes(b.column(1)), hashes, window)
+                s = Slice(b.column(1), window)
                 did = _ids(b.column(0))
                 if shorter:
-                    s.survivors(shorter, [_repeated(k, p) for k, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
+                    s.survivors(shorter, _repeated(b.column(2), b.column(3)))
                 if not len(s.start):
                     continue
                 at = s.anchors(length)
@@ -161,17 +156,16 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
     """(did, marks): of each document the starts of windows that also start earlier."""
 
     def run(batches):
-        hashes = WordHashes()
         import xxhash
 
         for whole in batches:
             for b in slices(whole, "text", 16 << 20):
                 b = b.take(pa.array(np.argsort(_ids(b.column(0)), kind="stable")))
                 texts = text_bytes(b.column(1))
-                s = Slice(texts, hashes, window)
+                s = Slice(b.column(1), window)
                 did = _ids(b.column(0))
                 if shorter:
-                    s.survivors(shorter, [_repeated(k, p) for k, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())])
+                    s.survivors(shorter, _repeated(b.column(2), b.column(3)))
                 if not len(s.start):
                     continue
                 at, doc = s.start, s.doc[s.start]
@@ -219,7 +213,11 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
     sent = rows.mapInArrow(run, "h1 long, h2 int, did long, text_id int, pos int, pack binary")
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("did", "pos"))
     kept = sent.withColumn("rank", rank).filter("rank > 1 or pack is not null")
-    return kept.groupBy("did").agg(F.collect_list(F.struct("text_id", "pos", "pack")).alias("marks"))
+    one, many = F.col("pack").isNull(), F.col("pack").isNotNull()
+    return kept.groupBy("did").agg(
+        F.collect_list(F.when(one, F.struct("text_id", "pos"))).alias("marks"),
+        F.collect_list(F.when(many, F.struct("text_id", "pack"))).alias("packs"),
+    )
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -239,7 +237,9 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
         rows, shorter = with_info(_level(rows, length, shorter, window), "keys", "packs"), length
     marks = _later(rows, shorter, window).withColumnRenamed("did", "of")
     # the same columns as in the levels' joins, so that all of them read one exchange
-    final = base.join(marks, base["did"] == marks["of"], "left").select(F.nullif("did", F.lit(_NO_ID)).cast(kind).alias("doc_id"), "text", "marks")
+    final = base.join(marks, base["did"] == marks["of"], "left").select(
+        F.nullif("did", F.lit(_NO_ID)).cast(kind).alias("doc_id"), "text", F.col("marks.text_id").alias("of"), F.col("marks.pos").alias("pos"), "packs"
+    )
 
     def run(batches):
         import xxhash
@@ -247,26 +247,18 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
         for whole in batches:
             for b in slices(whole, "text"):
                 texts, out, kept_texts = text_bytes(b.column(1)), [], []
-                for t, marks in zip(texts, b.column(2).to_pylist()):
-                    words = t.split()
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    if marks:
-                        me = int(np.uint32(xxhash.xxh32_intdigest(t)).astype(np.int32))
-                        for x in marks:
-                            if x["text_id"] != me:
-                                continue
-                            if x["pack"] is None:
-                                gone[x["pos"]] += 1
-                                gone[x["pos"] + window] -= 1
-                            else:
-                                for a, z in np.frombuffer(x["pack"], "<i4").reshape(-1, 2).tolist():
-                                    gone[a] += 1
-                                    gone[z + window] -= 1
-                    if marks:
-                        keep = np.cumsum(gone[:-1]) == 0
+                of, pos = number_lists(b.column(2), np.int32), number_lists(b.column(3), np.int32)
+                for t, whose, at, packs in zip(texts, of, pos, b.column(4).to_pylist()):
+                    words = left = t.split()
+                    if len(at) or packs:
+                        me = np.uint32(xxhash.xxh32_intdigest(t)).astype(np.int32)
+                        at = at[whose == me]
+                        runs = [np.frombuffer(x["pack"], "<i4").reshape(-1, 2) for x in packs or () if x["text_id"] == me]
+                        first = np.concatenate([at, *(r[:, 0] for r in runs)])
+                        last = np.concatenate([at, *(r[:, 1] for r in runs)])
+                        covered = np.bincount(first, minlength=len(words) + 1) - np.bincount(last + window, minlength=len(words) + 1)
+                        keep = np.cumsum(covered[:-1]) == 0
                         left = [w for w, k in zip(words, keep.tolist()) if k]
-                    else:
-                        left = words
                     joined = b" ".join(left)
                     out.append((len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest()))
                     if keep_text:
