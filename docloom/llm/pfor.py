@@ -26,8 +26,14 @@ _HEAD = struct.Struct("<4sIQQQQ")
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values below 2**width as rows of BLOCK * width / 8 bytes."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    out = np.zeros((BLOCK * width // 8 + 4, len(values)), np.uint8)
+    columns = np.ascontiguousarray(values.T).astype(np.uint64)
+    for j in range(BLOCK):
+        at, shift = divmod(j * width, 8)
+        x = columns[j] << np.uint64(shift)
+        for k in range((shift + width + 7) // 8):
+            out[at + k] |= (x >> np.uint64(8 * k)).astype(np.uint8)
+    return np.ascontiguousarray(out[: BLOCK * width // 8].T)
 
 
 def _unpack(rows: np.ndarray, width: int) -> np.ndarray:

@@ -8,8 +8,8 @@ lost executor replaces it with the same file.  The manifest lists the files of s
 
 Encoding: the vocabulary lower-cases and drops white space, and no rule of its normaliser,
 pre-tokeniser or special tokens reaches across ASCII white space, so each run of other characters
-is encoded alone and distinct runs go through a bounded memo.  A full stop or comma between a
-letter and white space is a pre-token of its own, so it is cut off first.  What the memo lacks goes
+is encoded alone and distinct runs go through a bounded memo.  A full stop or comma behind a letter
+at a run's end is a pre-token of its own, so such runs share the encoding of the rest.  What the memo lacks goes
 to the library in long texts, with a separator whose token tells the runs apart.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; a repeated id is a
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, text_bytes
+from .common import cut_words, shared_dir, slices
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,59 +44,81 @@ _SEPARATOR = "\x01"
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers; one per worker."""
+    """Ids of whole texts; one per worker.
 
-    def __init__(self, path: str, limit: int = 400_000):
+    The memo is sorted hashes beside one pool of ids, some thirty bytes an entry; it stops growing
+    at ``limit`` entries, so a text's word meets a wrong entry with probability limit / 2**64."""
+
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.done: dict[bytes, bytes] = {}
         self.mark = self._ids(_SEPARATOR)
-        self.stops = {ord(c): np.array(self._ids(c), "<u4").tobytes() for c in ".,"}
+        self.stops = {ord(c): self._ids(c) for c in ".,"}
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def runs(text: bytes) -> list[bytes]:
-        """The pieces that are encoded alone.  Where a special token may be spelled out, as it stands."""
-        return text.split() if b"<|" in text else text.lower().split()
-
-    def fresh(self, runs: set[bytes]) -> dict[bytes, bytes]:
-        done, out, stopped, plain = self.done, {}, [], set()
-        for r in runs:
-            if r[-1] in b".," and _STOPPED.search(r) and b"<|" not in r:
-                stopped.append(r)
-                r = r[:-1]
-            if b"\x01" in r or len(self.mark) != 1:
-                out[r] = np.array(self._ids(r.decode("utf-8", "replace")), "<u4").tobytes()
-            elif r not in done:
-                plain.add(r)
-        todo = list(plain)
+    def fresh(self, runs: list[bytes]) -> list[np.ndarray]:
+        """Ids of distinct runs of other characters than white space, by the library."""
+        out: dict[bytes, np.ndarray] = {}
+        stopped = {r for r in runs if r[-1] in b".," and _STOPPED.search(r) and b"\x01" not in r}
+        odd = {r for r in runs if b"\x01" in r} if len(self.mark) == 1 else set(runs) - stopped
+        for r in odd:
+            out[r] = np.array(self._ids(r.decode("utf-8", "replace")), np.uint32)
+        todo = list({r[:-1] if r in stopped else r for r in runs} - odd)
         for i in range(0, len(todo), 500):
             part = todo[i : i + 500]
-            ids = np.array(self._ids(f" {_SEPARATOR} ".join([r.decode("utf-8", "replace") for r in part])), "<u4")
-            ends = (4 * np.flatnonzero(ids == self.mark[0])).tolist()
-            data = ids.tobytes()
-            for r, a, z in zip(part, [0, *(e + 4 for e in ends)], [*ends, len(data)], strict=True):
-                out[r] = data[a:z]
+            ids = np.array(self._ids(f" {_SEPARATOR} ".join([r.decode("utf-8", "replace") for r in part])), np.uint32)
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            for r, a, z in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
+                out[r] = ids[a:z]
         for r in stopped:
-            core = r[:-1]
-            out[r] = (out[core] if core in out else done[core]) + self.stops[r[-1]]
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        cut = [self.runs(t) for t in texts]
-        get = self.done.get
-        found = [list(map(get, runs)) for runs in cut]
-        missing = {r for runs, got in zip(cut, found) if None in got for r, x in zip(runs, got) if x is None}
-        new = self.fresh(missing)
-        out = [b"".join([new[r] if x is None else x for r, x in zip(runs, got)] if None in got else got) for runs, got in zip(cut, found)]
-        room = self.limit - len(self.done)
-        if room > 0:
-            self.done.update(new if len(new) <= room else dict(list(new.items())[:room]))
-        return out
+            out[r] = np.append(out[r[:-1]], np.array(self.stops[r[-1]], np.uint32))
+        return [out[r] for r in runs]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        import pyarrow.compute as pc
+
+        # where a special token may be spelled out, the text is encoded as it stands
+        special = np.flatnonzero(np.asarray(pc.fill_null(pc.match_substring(texts, "<|"), False)))
+        if len(special):
+            alone = {int(i): np.array(self._ids(texts[int(i)].as_py()), np.uint32) for i in special}
+            mask = np.zeros(len(texts), bool)
+            mask[special] = True
+            ids, sizes = self.encode(pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts))
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in alone.items():
+                parts[i], sizes[i] = x, len(x)
+            return np.concatenate(parts), sizes
+        h, counts, a, z, raw = cut_words(texts, lower=True)
+        u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, u)
+        at[at == len(self.hashes)] = 0
+        known = self.hashes[at] == u if len(self.hashes) else np.zeros(len(u), bool)
+        starts, sizes, pool = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), self.pool
+        starts[known], sizes[known] = self.starts[at[known]], self.sizes[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            got = self.fresh([raw[x:y].tobytes() for x, y in zip(a[first[new]].tolist(), z[first[new]].tolist())])
+            sizes[new] = [len(x) for x in got]
+            starts[new] = len(pool) + np.cumsum(sizes[new]) - sizes[new]
+            pool = np.concatenate([pool, *got])
+            if len(self.hashes) + len(new) <= self.limit:
+                place = np.searchsorted(self.hashes, u[new])
+                self.starts, self.sizes = np.insert(self.starts, place, starts[new]), np.insert(self.sizes, place, sizes[new])
+                self.hashes, self.pool = np.insert(self.hashes, place, u[new]), pool
+        n = sizes[inverse]
+        before = np.cumsum(n) - n
+        ids = pool[np.repeat(starts[inverse] - before, n) + np.arange(int(n.sum()))]
+        total = np.concatenate([[0], np.cumsum(n)])
+        words = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(total[words])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -132,32 +154,39 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         from . import pfor
 
         place, encoder = TaskContext.get().partitionId(), _encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         ids: list[int | None] = []
-        parts: list[bytes] = []
+        lengths: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         held, n = 0, 0
 
         def flush():
             nonlocal held, n
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
+            sizes = np.concatenate(lengths)
             name = f"tokens-{place:06d}-{n:05d}.pfr"
-            data = pfor.write(np.frombuffer(b"".join(parts), "<u4"), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), lengths, percentile)
+            data = pfor.write(np.concatenate(parts), np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids]), sizes, percentile)
             _put(f"{path}/files", name, data)
-            row = (name, ids[0], len(ids), int(lengths.sum()), place, n)
-            ids.clear()
-            parts.clear()
+            row = (name, ids[0], len(ids), int(sizes.sum()), place, n)
+            for x in (ids, lengths, parts):
+                x.clear()
             held, n = 0, n + 1
             return row
 
         out = []
         for whole in batches:
             for b in slices(whole, "text"):
-                for i, got in zip(b.column(0).to_pylist(), encoder.encode(text_bytes(b.column(1)))):
-                    if held and held + len(got) + 4 > 2 * file_bytes:
-                        out.append(flush())
-                    ids.append(i)
-                    parts.append(got + end)
-                    held += len(got) + 4
+                tokens, sizes = encoder.encode(b.column(1))
+                # the end id behind each document
+                ended = np.empty(len(tokens) + len(sizes), np.uint32)
+                last = np.cumsum(sizes + 1) - 1
+                body = np.ones(len(ended), bool)
+                body[last] = False
+                ended[body], ended[last] = tokens, end_id
+                if held and held + ended.nbytes > 2 * file_bytes:
+                    out.append(flush())
+                ids += b.column(0).to_pylist()
+                lengths.append(sizes + 1)
+                parts.append(ended)
+                held += ended.nbytes
         if ids:
             out.append(flush())
         names = ["file", "first_id", "n_docs", "n_tokens", "place", "seq"]
