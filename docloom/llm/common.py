@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -75,7 +78,7 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words (bytes); a bounded memo, since words follow Zipf's law."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -181,7 +184,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``limit`` bytes of text each: bounds what is in memory at once."""
     import pyarrow.compute as pc
 
@@ -195,6 +198,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         start = end
 
 
+def tidy(run):
+    """An Arrow function that gives its memory back to the system when its task is done.
+
+    Workers outlive tasks, and what one operator's task held would else add to the next one's."""
+
+    def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under the operator's own names: other columns can't clash."""
     return df.select(*(df[old].alias(new) for new, old in columns.items()))

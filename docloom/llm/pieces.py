@@ -61,7 +61,7 @@ class Vocabulary:
     """Pieces, merges and their tries' states; one per worker."""
 
     path: str
-    limit: int = 250_000
+    limit: int = 200_000
     ids: dict[str, int] = field(init=False, repr=False)
     done: dict[bytes, tuple[int, ...]] = field(init=False, repr=False, default_factory=dict)
 
@@ -106,7 +106,7 @@ class Vocabulary:
     def _fit(self, key: int, left: int, right: int) -> bool:
         a, b = self.names[left], self.names[right]
         got = self.merge(a + b) == [a, b]
-        if len(self.fits) > 400_000:
+        if len(self.fits) > 250_000:
             self.fits.clear()
         self.fits[key] = got
         return got

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -322,7 +322,7 @@ def default_crf() -> CRF:
 class Shapes(dict):
     """Shape classes of words, as a bounded memo."""
 
-    def __init__(self, classes: dict[str, int], limit: int = 300_000):
+    def __init__(self, classes: dict[str, int], limit: int = 150_000):
         self.classes, self.limit = classes, limit
 
     def __missing__(self, word: bytes) -> int:
@@ -438,7 +438,7 @@ def find_pii(docs: DataFrame, crf: CRF | None = None, *, id_col: str = "doc_id",
                     ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, crf: CRF | None = None) -> DataFrame:
@@ -472,4 +472,4 @@ def redact(docs: DataFrame, crf: CRF | None = None) -> DataFrame:
                     columns[k] = pa.array([len(n) if every else o for n, o, (_, every) in zip(new, old, got)], b.schema.field(k).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

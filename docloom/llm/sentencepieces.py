@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, tidy
 
 MODEL = "piece_bpe_32k.model"
 
@@ -51,7 +51,7 @@ def encode(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_id",
                 ids = v.encode(text_bytes(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, token_ids array<int>")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str | None = None, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -65,7 +65,7 @@ def decode(encoded: DataFrame, model: str | None = None, *, id_col: str = "doc_i
             texts = [v.decode(x or ()).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +98,7 @@ def round_trip(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_
                     ["doc_id", "n_chars", "n_tokens", "ids_crc32", "decoded_sha256", "exact"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean")
 
 
 def token_totals(encoded: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_words, join_hashes, mix64, number_lists, slices, text_bytes, window_hashes
+from .common import hashed_words, join_hashes, mix64, number_lists, slices, text_bytes, tidy, window_hashes
 
 _NO_ID = -(2**63)
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -140,7 +140,7 @@ def _level(rows: DataFrame, length: int, shorter: int | None, window: int) -> Da
                     ["k", "did", "n", "pack"],
                 )
 
-    sent = rows.mapInArrow(run, "k long, did long, n int, pack binary")
+    sent = rows.mapInArrow(tidy(run), "k long, did long, n int, pack binary")
     total = F.sum("n").over(Window.partitionBy("k"))
     kept = sent.withColumn("total", total).filter("total >= 2 and did is not null")
     return kept.groupBy("did").agg(F.collect_list(F.when(F.col("pack").isNull(), F.col("k"))).alias("keys"), F.collect_list("pack").alias("packs"))
@@ -210,7 +210,7 @@ def _later(rows: DataFrame, shorter: int | None, window: int) -> DataFrame:
                     ["h1", "h2", "did", "text_id", "pos", "pack"],
                 )
 
-    sent = rows.mapInArrow(run, "h1 long, h2 int, did long, text_id int, pos int, pack binary")
+    sent = rows.mapInArrow(tidy(run), "h1 long, h2 int, did long, text_id int, pos int, pack binary")
     rank = F.rank().over(Window.partitionBy("h1", "h2").orderBy("did", "pos"))
     kept = sent.withColumn("rank", rank).filter("rank > 1 or pack is not null")
     one, many = F.col("pack").isNull(), F.col("pack").isNotNull()
@@ -270,4 +270,4 @@ def remove_repeats(docs: DataFrame, *, window: int = 20, shortest: int = 5, id_c
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return final.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    return final.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)

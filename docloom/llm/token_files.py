@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_words, shared_dir, slices
+from .common import cut_words, shared_dir, slices, tidy
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -193,7 +193,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         kinds = [pa.string(), *[pa.int64()] * 5]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names)
 
-    made = rows.mapInArrow(run, "file string, first_id long, n_docs long, n_tokens long, place long, seq long")
+    made = rows.mapInArrow(tidy(run), "file string, first_id long, n_docs long, n_tokens long, place long, seq long")
     made.write.parquet(f"{path}/manifest")
     manifest = docs.sparkSession.read.schema(made.schema).parquet(f"{path}/manifest")
     # one row a file, so one task can add up where each file starts
@@ -223,7 +223,7 @@ def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
                     )
 
     files = spark.read.format("binaryFile").load(f"{path}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    found = files.mapInArrow(run, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    found = files.mapInArrow(tidy(run), "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
     starts = manifest.select(F.col("file").alias("f"), F.col("start").alias("s"))
     if manifest.count() <= 100_000:  # some 10 MB; beyond that Spark joins as it sees fit
         starts = F.broadcast(starts)
