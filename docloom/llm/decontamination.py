@@ -8,8 +8,8 @@ the whole item if it has fewer) is a pattern with a space at either end, so matc
 at words.  Match positions are mapped to word numbers, and by ``spans`` to the original text.
 
 The automaton is broadcast, so the benchmark is measured first: it is cut into blocks of at most
-``block_bytes`` of normalised text, one automaton each.  One block is the normal case; with more,
-each block is one pass over the documents and the passes' hits are put together per document.
+``block_bytes``, one automaton each.  One block is the normal case; with more, each block is one
+pass over the documents and the passes' hits are put together per document.
 
 Defined cases: null and empty texts have no words, are never hit, and as items give no windows.
 Items that repeat the same words are all reported.  A repeated doc_id is one output row for each
@@ -18,15 +18,15 @@ input row.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, text_bytes
+from .common import pick, shared_dir, slices, text_bytes, tidy
 
 
 def _table() -> bytes:
@@ -117,76 +117,95 @@ def blocks(benchmark: DataFrame, block_bytes: int, id_col: str = "item_id", text
 
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_spans: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
-
-    With ``keep_spans`` also the covered spans of the original text (code points, end exclusive)."""
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(tuple(b)) for b in blocks(benchmark, block_bytes, item_col)]
-    kind = dict(rows.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans array<struct<start:int,end:int>>" * keep_spans
-    cache: dict[int, Windows] = {}
+def _scanned(rows: DataFrame, block: list[tuple[str, bytes]], window: int, columns: list[str]) -> DataFrame:
+    """``columns`` of each row, with its number of words and what one block's windows hit."""
+    sent = rows.sparkSession.sparkContext.broadcast(tuple(block))
+    text_at, places = rows.columns.index("text"), [rows.columns.index(c) for c in columns]
+    kinds = dict(rows.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "n_words long, covered array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
+    pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        # one automaton at a time is in memory; of several blocks each scans the same slice in turn
+        w = Windows(list(sent.value), window)
         for whole in batches:
             for b in slices(whole, "text"):
-                texts = text_bytes(b.column(1))
+                texts = text_bytes(b.column(text_at))
                 words = [words_of(t) for t in texts]
-                covered: list[list[tuple[int, int]]] = [[] for _ in texts]
-                items: list[set[str]] = [set() for _ in texts]
-                for k, block in enumerate(sent):
-                    if k not in cache:
-                        cache.clear()
-                        cache[k] = Windows(list(block.value), window)
-                    w = cache[k]
-                    for d, ws in enumerate(words):
-                        c, who = w.scan(ws)
-                        covered[d] += c
-                        items[d].update(w.names[i] for i in who)
-                hit = []
-                for c in covered:
-                    c.sort()
-                    n, end = 0, 0
-                    for x, y in c:
-                        n += max(0, y - max(x, end))
-                        end = max(end, y)
-                    hit.append(n)
-                out = [
-                    b.column(0),
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(i) for i in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]),
-                    pa.array([h > 0 for h in hit]),
-                ]
-                names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-                if keep_spans:
-                    got = [[{"start": x, "end": y} for x, y in spans(t.decode(), c)] if c else [] for t, c in zip(texts, covered)]
-                    out.append(pa.array(got, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
-                    names.append("spans")
-                yield pa.RecordBatch.from_arrays(out, names)
-
-    return rows.mapInArrow(run, schema)
+                found = [w.scan(ws) for ws in words]
+                as_pairs = lambda xs: pa.array([[{"start": x, "end": y} for x, y in c] for c in xs], pair)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(b.column(k) for k in places),
+                        pa.array([len(ws) for ws in words], pa.int64()),
+                        as_pairs([c for c, _ in found]),
+                        pa.array([[w.names[i] for i in sorted(who)] for _, who in found], pa.list_(pa.string())),
+                        as_pairs([spans(t.decode(), c) if c else [] for t, (c, _) in zip(texts, found)]),
+                    ],
+                    [*columns, "n_words", "covered", "items", "spans"],
+                )
+
+    return rows.mapInArrow(tidy(run), schema)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str, item_col: str) -> DataFrame:
+    """(doc_id, n_words, covered, items, spans) of every row, over all blocks.
+
+    One block, the normal case, is one narrow pass.  More are a pass each, one automaton after the
+    other; of each only the rows it hits are kept, in the shared folder, and put together by text."""
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    parts = blocks(benchmark, block_bytes, item_col, text_col)
+    first = next(parts)
+    out = _scanned(rows, first, window, ["doc_id"])
+    second = next(parts, None)
+    if second is None:
+        return out
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "hits")
+    keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    made = None
+    for k, block in enumerate(chain([first, second], parts)):
+        made = _scanned(texts, block, window, ["key"]).filter(F.size("items") > 0)
+        made.write.parquet(f"{path}/block={k}")
+    found = spark.read.schema(made.schema).parquet(*(f"{path}/block={i}" for i in range(k + 1)))
+    found = found.groupBy(F.col("key").alias("of")).agg(
+        F.array_sort(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
+    )
+    counted = _scanned(keyed, [], window, ["doc_id", "key"]).select("doc_id", "key", "n_words")
+    return counted.join(found, F.col("key") == F.col("of"), "left").select("doc_id", "n_words", "covered", "items", "spans")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_spans: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
+
+    With ``keep_spans`` also the covered spans of the original text (code points, end exclusive)."""
+    h = _hits(docs, benchmark, window, block_bytes, id_col, text_col, item_col)
+    # intervals in order, counted up to where the ones before have reached
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def add(acc, x):
+        return F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["end"]))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end"))
+
+    n_hit = F.coalesce(F.aggregate("covered", none, add)["n"], F.lit(0)).cast("long")
+    names = F.array_join(F.array_sort(F.coalesce("items", F.array().cast("array<string>"))), ",")
+    out = [F.col("doc_id"), F.col("n_words"), n_hit.alias("n_hit"), F.greatest(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")]
+    return h.select(*out, *(["spans"] if keep_spans else []))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` (same columns) that hold no window of any item."""
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(tuple(b)) for b in blocks(benchmark, block_bytes)]
-    cache: dict[int, Windows] = {}
+    """The rows of ``docs`` (same columns) that hold no window of any item: a narrow pass a block."""
+    for block in blocks(benchmark, block_bytes):
+        docs = _clean(docs, block, window)
+    return docs
+
+
+def _clean(docs: DataFrame, block: list[tuple[str, bytes]], window: int) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(block))
 
     def run(batches):
+        w = Windows(list(sent.value), window)
         for whole in batches:
             for b in slices(whole, "text"):
-                words = [words_of(t) for t in text_bytes(b.column(b.schema.get_field_index("text")))]
-                clean = np.ones(len(words), bool)
-                for k, block in enumerate(sent):
-                    if k not in cache:
-                        cache.clear()
-                        cache[k] = Windows(list(block.value), window)
-                    clean &= [not cache[k].scan(w)[0] for w in words]
-                yield b.filter(pa.array(clean))
-
-    return docs.mapInArrow(run, docs.schema)
+                clean = [not w.scan(words_of(t))[0] for t in text_bytes(b.column(b.schema.get_field_index("text")))]
+                yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
