@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ensure_checkpoint_dir, mix64, slices, text_bytes, window_hashes
+from .common import WordHashes, ensure_checkpoint_dir, mix64, slices, text_bytes, tidy, window_hashes
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,24 +155,26 @@ def _signed(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "keys"])
 
-    return texts.mapInArrow(run, "id long, keys array<long>")
+    return texts.mapInArrow(tidy(run), "id long, keys array<long>")
 
 
 def _bags(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, bag, sig): numbered bags and 16 bits of each register, as bytes."""
+    """(id, bag, small, sig): numbered bags, 32 bits of each of their hashes and 8 of each register."""
 
     def run(batches):
         hashes = WordHashes()
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
                 bags = [bag(t.split(), hashes, k) for t in text_bytes(b.column(1))]
-                sigs = (signatures(bags, bands * rows) >> np.uint64(48)).astype("<u2")
+                sigs = (signatures(bags, bands * rows) >> np.uint64(56)).astype(np.uint8)
+                full = [numbered(x) for x in bags]
+                small = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in full]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([numbered(x).tobytes() for x in bags], pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                    ["id", "bag", "sig"],
+                    [b.column(0), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(small, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                    ["id", "bag", "small", "sig"],
                 )
 
-    return texts.mapInArrow(run, "id long, bag binary, sig binary")
+    return texts.mapInArrow(tidy(run), "id long, bag binary, small binary, sig binary")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -187,24 +189,27 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             keep = np.array(sims) >= threshold
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _packs(rows: DataFrame, pack: int, prefix: str) -> DataFrame:
     """(key, band, block, members): the rows of a key dealt into blocks of about ``pack`` by hash."""
     n = rows.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / pack).alias("blocks"))
     dealt = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    return dealt.groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "root", "hub", "bag", "sig")).alias(prefix))
+    return dealt.groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "root", "hub", "small", "sig")).alias(prefix))
 
 
 def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold: float, bands: int, rows: int, pack: int) -> DataFrame:
-    """Links (a, b) inside buckets between members of different components."""
+    """Links (a, b) inside buckets between members of different components.
+
+    Packs carry 32 bits of each hash, which can only make bags more alike; what passes is verified
+    on the whole hashes."""
     root = roots.select(F.col("node").alias("id"), "root")
     hub = roots.select(F.col("node").alias("lead"), F.col("root").alias("hub"))
     m = members.join(root, "id", "left").join(hub, "lead", "left")
     m = m.select("key", "band", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub", "lead").alias("hub"))
     several = m.groupBy("key").agg(F.max(F.col("root") != F.col("hub")).alias("open")).filter("open").select("key")
-    m = m.join(several, "key").join(bags, "id")
+    m = m.join(several, "key").join(bags.select("id", "small", "sig"), "id")
     pairs = _packs(m.filter("root <> hub"), pack, "left").join(_packs(m, pack, "right").drop("block", "band"), "key").select("band", "left", "right")
     sigma = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     least = (threshold - 4.5 * sigma) * bands * rows
@@ -213,7 +218,7 @@ def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold:
         ids = np.array([x["id"] for x in members], np.int64)
         root = np.array([x["root"] for x in members], np.int64)
         hub = np.array([x["hub"] for x in members], np.int64)
-        return ids, root, root != hub, [np.frombuffer(x["bag"], np.uint64) for x in members], np.array([np.frombuffer(x["sig"], "<u2") for x in members])
+        return ids, root, root != hub, [np.frombuffer(x["small"], "<u4") for x in members], np.array([np.frombuffer(x["sig"], np.uint8) for x in members])
 
     def run(batches):
         for b in batches:
@@ -233,7 +238,7 @@ def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold:
                     found += [(int(la[k]), int(ra[j])) for j in np.flatnonzero(fit) if overlap(lb[k], rb[j]) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return _verified(pairs.mapInArrow(tidy(run), "a long, b long").distinct(), bags, threshold)
 
 
 def text_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, band
     pairs = members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     links = _verified(pairs, bags, threshold).checkpoint()
     roots = components(links)
-    more = _residual(members, roots, bags, threshold, bands, rows, pack).distinct().checkpoint()
+    more = _residual(members, roots, bags, threshold, bands, rows, pack).checkpoint()
     if not more.isEmpty():
         roots = components(links.union(more))
     out = equal.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
