@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices, text_bytes
+from .common import pick, slices, text_bytes, tidy
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -91,7 +91,7 @@ def _margin(w0, w, v, ids, row, n):
 class Terms(dict):
     """Hashed terms of a lower-case word (a bounded memo)."""
 
-    def __init__(self, bits: int, keep: np.ndarray | None = None, limit: int = 400_000):
+    def __init__(self, bits: int, keep: np.ndarray | None = None, limit: int = 120_000):
         self.mask, self.limit = (1 << bits) - 1, limit
         self.keep = None if keep is None else {int(k): i for i, k in enumerate(keep)}
 
@@ -130,7 +130,7 @@ def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "do
                 ["h", "y", "terms"],
             )
 
-    got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(hashed, "h long, y int, terms binary").orderBy("h", "y", "terms").limit(params.max_rows).collect()
+    got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(tidy(hashed), "h long, y int, terms binary").orderBy("h", "y", "terms").limit(params.max_rows).collect()
     return train([np.frombuffer(r.terms, "<i4") for r in got], np.array([float(r.y > 0) for r in got]), params)
 
 
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: FMModel, params: FMParams = FMParams(), *, id_
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(scored), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def df_str(column):
@@ -204,7 +204,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, params: FMParams = FMParam
     broadcast, so that no text is shuffled.  A document labelled twice has its largest label."""
     y = pick(labels, i=id_col, y=label_col).filter("i is not null and y is not null")
     y = y.filter(F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(3)) != 1).groupBy("i").agg(F.max("y").alias("label"))
-    y = y.orderBy(F.xxhash64("i"), "i").limit(params.max_rows)
+    # far fewer than all labels reach the driver: those whose hash could be among the least
+    share = min(1.0, 1.2 * params.max_rows / max(1, y.count()))
+    y = y.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    y = y.orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 20)), "i").limit(params.max_rows)
     return pick(docs, doc_id=id_col, text=text_col).join(F.broadcast(y), F.col("doc_id") == F.col("i")).select("doc_id", "text", "label")
 
 
@@ -226,4 +229,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, params: FMParams = FMParams()
                 s = m.scores([terms.of(t) for t in text_bytes(b.column(b.schema.get_field_index("text")))])
                 yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)
