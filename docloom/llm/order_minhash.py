@@ -122,10 +122,10 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.lit(0), step))
 
 
-def with_next(df: DataFrame, columns: list[str], per_partition: int = 8) -> DataFrame:
+def with_next(df: DataFrame, derived, columns: list[str], per_partition: int = 8) -> DataFrame:
     """Add next_<c> of the next row by descending doc_id; the first row follows the last.
 
-    ``df`` has doc_id, text and the columns.  Ids are dealt into ranges of equal numbers of rows
+    ``df`` has doc_id and text; ``derived`` adds columns to it, once for every row that is sent.  Ids are dealt into ranges of equal numbers of rows
     (their bounds are approximate quantiles, as many as ``per_partition`` times the shuffle
     partitions), so the order is worked out range by range, without one task for all.  The first
     row of each range is also sent to the range above, where it follows the last row."""
@@ -139,13 +139,13 @@ def with_next(df: DataFrame, columns: list[str], per_partition: int = 8) -> Data
     above = F.lead("bucket").over(Window.orderBy("bucket"))
     lowest = F.min("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tops = tops.select("bucket", "top", F.coalesce(above, lowest).alias("to"))
-    mine = df.select(bucket.alias("bucket"), F.lit(0).alias("guest"), "doc_id", *columns)
+    mine = df.select(bucket.alias("bucket"), F.lit(0).alias("guest"), "doc_id", "text")
     heads = mine.join(F.broadcast(tops.select(F.col("bucket").alias("of"), "top", "to")), (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    if "text" in columns:  # of rows that share the id, the first in the order below
-        heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("text"), "text"))).filter("r = 1")
-    guests = heads.select(F.col("to").alias("bucket"), F.lit(1).alias("guest"), "doc_id", *columns)
+    # of rows that share the id, the first in the order below
+    heads = heads.withColumn("r", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("text"), "text"))).filter("r = 1")
+    guests = heads.select(F.col("to").alias("bucket"), F.lit(1).alias("guest"), "doc_id", "text")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
-    out = mine.union(guests)
+    out = derived(mine.union(guests))
     for c in columns:
         out = out.withColumn(f"next_{c}", F.lead(c).over(order))
     return out.filter("guest = 0").drop("bucket", "guest")
@@ -156,7 +156,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)"""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "fp"), ["text", "fp"])
+    rows = with_next(rows, lambda x: with_fingerprint(x, "text", "fp"), ["text", "fp"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (n - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half))
