@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, tidy
 from .sentencepieces import default_model
 
 
@@ -59,7 +59,7 @@ class LengthTable:
             start = end
 
 
-def frequent(docs: DataFrame, table_size: int, per_task: int, text_col: str = "text") -> list[bytes]:
+def frequent(docs: DataFrame, table_size: int, per_task: int, text_col: str = "text", summaries: int = 16) -> list[bytes]:
     """The heaviest pre-tokens of all documents, from bounded summaries of each task."""
 
     def run(batches):
@@ -75,8 +75,10 @@ def frequent(docs: DataFrame, table_size: int, per_task: int, text_col: str = "t
         top = [(u, n) for u, n in seen.most_common(per_task) if len(u) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["unit", "n"])
 
-    rows = docs.select(docs[text_col].alias("text")).mapInArrow(run, "unit binary, n long")
-    top = rows.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(table_size)
+    rows = docs.select(docs[text_col].alias("text")).mapInArrow(tidy(run), "unit binary, n long")
+    # each task that sums up sends its heaviest to the driver, so they are few
+    summed = rows.groupBy("unit").agg(F.sum("n").alias("n")).coalesce(summaries)
+    top = summed.orderBy(F.desc("n"), "unit").limit(table_size)
     return [bytes(r.unit) for r in top.select("unit").collect()]
 
 
@@ -120,4 +122,4 @@ def token_counts(docs: DataFrame, model: str | None = None, *, limit: int = 4096
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_tokens long, over_limit boolean")
