@@ -208,6 +208,25 @@ def test_wrapper_induction_finds_unmarked_template(spark):
     assert all(r.text == want[r.page_id] for r in joined)
 
 
+def test_constant_own_text_takes_only_itself():
+    """A container with one constant text of its own keeps what is below it."""
+    from docloom.llm.wrappers import fold, main_text, page_slot
+
+    def texts(page, n=40):
+        pages = [page(k) for k in range(n)]
+        template = page_slot(pages[0])
+        for p in pages[1:]:
+            fold(template, page_slot(p))
+        return [main_text(p, template) for p in pages]
+
+    want = [f"Head {k}\nText {k} of this page" for k in range(40)]
+    assert texts(lambda k: f"<body>Skip to content<nav>menu</nav><article><h1>Head {k}</h1><p>Text {k} of this page</article></body>") == want
+    assert texts(lambda k: f"<body><div class=post>&nbsp;<h1>Head {k}</h1><p>Text {k} of this page</div></body>") == want
+    assert texts(lambda k: f"<body><div class=post>Our site<h1>Head {k}</h1><p>Text {k} of this page</div></body>") == want
+    # inside an article: own text alone, or all of a container that is template as a whole
+    assert texts(lambda k: f"<article><div class=x>By us<h1>Head {k}</h1><p>Text {k} of this page</p></div><div class=y>Join<h3>us</h3></div></article>") == want
+
+
 def test_extraction_on_odd_pages(spark):
     from docloom.llm.wrappers import extract
 
