@@ -227,6 +227,22 @@ def test_constant_own_text_takes_only_itself():
     assert texts(lambda k: f"<article><div class=x>By us<h1>Head {k}</h1><p>Text {k} of this page</p></div><div class=y>Join<h3>us</h3></div></article>") == want
 
 
+@pytest.mark.parametrize("article", ["article", "div"])
+@pytest.mark.parametrize("stamp", ["", "Seen at {k}"])
+def test_copies_of_an_article_are_no_template(spark, article, stamp):
+    """Many copies of few pages on a host, whole or with a stamp of their own: the article stays."""
+    from docloom.llm.wrappers import extract
+
+    def body(k):
+        return f"Head {k}", " ".join(f"w{k}x{j}" for j in range(40)), " ".join(f"v{k}x{j}" for j in range(40))
+
+    for n in (1, 12):  # articles, each 20 times
+        html = "<body><div class=x>Site</div><{a}><h1>{0}</h1><p>{1}</p><p>{2}</p></{a}><div class=s>" + stamp + "</div></body>"
+        rows = [(k, "http://h.example/", html.format(*body(k % n), a=article, k=k)) for k in range(20 * n)]
+        got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+        assert len(got) == 20 * n and all("\n".join(body(r.page_id % n)) in r.text for r in got)
+
+
 def test_extraction_on_odd_pages(spark):
     from docloom.llm.wrappers import extract
 
