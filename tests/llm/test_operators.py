@@ -243,6 +243,27 @@ def test_copies_of_an_article_are_no_template(spark, article, stamp):
         assert len(got) == 20 * n and all("\n".join(body(r.page_id % n)) in r.text for r in got)
 
 
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body><div class=z><p>{0}</p><p>Subscribe to us</p><p>{1}</p></div></body>",
+        "<body><article><p>{0}</p><p>Subscribe to us</p><p>{1}</p></article></body>",
+        "<body class='post-{k2}'><div id='{k2}'><p>{0}</p><p>{1}</p></div><div class=w>All rights kept</div></body>",
+        "<body><div class=z><p>{0}</p><p>{1}</p></div><div class=r><ul><li>Next {k} one<li>Next {k} two</ul></div></body>",
+    ],
+    ids=["paragraph", "in an article", "names", "side list"],
+)
+def test_single_template_texts_and_side_lists(spark, html):
+    from docloom.llm.wrappers import extract
+
+    def body(k):
+        return " ".join(f"w{k}x{j}" for j in range(20)), " ".join(f"v{k}x{j}" for j in range(20))
+
+    rows = [(k, "http://h.example/", html.format(*body(k), k=k, k2="qrstuvwxyz"[k // 10] + "qrstuvwxyz"[k % 10])) for k in range(40)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {k: "\n".join(body(k)) for k in range(40)}
+
+
 def test_extraction_on_odd_pages(spark):
     from docloom.llm.wrappers import extract
 
