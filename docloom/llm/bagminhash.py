@@ -22,7 +22,7 @@ most central member alone (the one whose buckets hold most members in all), whic
 every group.  Then only buckets that still hold several components are looked at again: their
 members outside the centre's component, and all their members, are dealt by hash into packs of
 about ``pack`` texts, and each pair of packs is one row of a join, compared in numpy.  There a pair
-is looked at in the first band it shares and skipped if it is in one component already, if its
+is looked at in every bucket it shares and skipped if it is in one component already, if its
 sizes rule out the threshold, or if its signatures agree on so few registers that the threshold is
 4.5 standard deviations away; the rest is verified on the exact bags, and only links come out.
 
@@ -210,7 +210,7 @@ def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold:
     m = m.select("key", "band", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub", "lead").alias("hub"))
     several = m.groupBy("key").agg(F.max(F.col("root") != F.col("hub")).alias("open")).filter("open").select("key")
     m = m.join(several, "key").join(bags.select("id", "small", "sig"), "id")
-    pairs = _packs(m.filter("root <> hub"), pack, "left").join(_packs(m, pack, "right").drop("block", "band"), "key").select("band", "left", "right")
+    pairs = _packs(m.filter("root <> hub"), pack, "left").join(_packs(m, pack, "right"), "key").select("left", "right")
     sigma = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     least = (threshold - 4.5 * sigma) * bands * rows
 
@@ -224,16 +224,15 @@ def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold:
         for b in batches:
             found: list[tuple[int, int]] = []
             for i in range(b.num_rows):
-                band, left, right = b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                left, right = b.column(0)[i].as_py(), b.column(1)[i].as_py()
                 la, lr, _, lb, ls = unpack(left)
                 ra, rr, ro, rb, rs = unpack(right)
                 sizes = np.array([len(x) for x in rb])
                 for k in range(len(la)):
                     same = rs == ls[k]
-                    shared = same.reshape(len(ra), bands, rows).all(2)
                     n = len(lb[k])
                     # two open members meet twice: the lesser id looks at the greater
-                    fit = (rr != lr[k]) & (~ro | (ra > la[k])) & (shared.argmax(1) == band) & shared.any(1) & (same.sum(1) >= least)
+                    fit = (rr != lr[k]) & (~ro | (ra > la[k])) & (same.sum(1) >= least)
                     fit &= np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)
                     found += [(int(la[k]), int(ra[j])) for j in np.flatnonzero(fit) if overlap(lb[k], rb[j]) >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])

@@ -139,6 +139,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def test_residual_looks_at_pairs_in_their_true_buckets(spark):
+    """Registers equal by chance in eight bits make no earlier bucket in which the pair is looked at."""
+    from docloom.llm.bagminhash import _residual
+
+    bag = np.arange(1, 51, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bag.sort()
+    small = (bag >> np.uint64(32)).astype("<u4").tobytes()
+    bags = spark.createDataFrame([(i, bytearray(bag.tobytes()), bytearray(small), bytearray(120)) for i in (1, 2)], "id long, bag binary, small binary, sig binary")
+    # band 0 agrees in eight bits only: the two meet in a bucket of band 3
+    members = spark.createDataFrame([(77, 3, 1, 1), (77, 3, 2, 1)], "key long, band int, id long, lead long")
+    roots = spark.createDataFrame([], "node long, root long")
+    assert [tuple(r) for r in _residual(members, roots, bags, 0.8, 24, 5, 4).collect()] == [(2, 1)]
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     from docloom.llm.bagminhash import drop_near_duplicates, near_duplicates
 
