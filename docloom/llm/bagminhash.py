@@ -19,16 +19,22 @@ escapes all 24 bands of 5 with probability 7e-5.  Equal texts are grouped exactl
 
 Buckets aren't expanded into pairs.  In a first step the members of a bucket are compared with its
 most central member alone (the one whose buckets hold most members in all), which joins nearly
-every group.  Then only buckets that still hold several components are looked at again: their
-members outside the centre's component, and all their members, are dealt by hash into packs of
-about ``pack`` texts, and each pair of packs is one row of a join, compared in numpy.  There a pair
-is looked at in every bucket it shares and skipped if it is in one component already, if its
-sizes rule out the threshold, or if its signatures agree on so few registers that the threshold is
-4.5 standard deviations away; the rest is verified on the exact bags, and only links come out.
+every group.  Only buckets that still hold several components are looked at again, by what their
+texts have that the centre has not.  For centre z, texts x and y and d the difference of their sets
+of runs from z's: if d(x) and d(y) have no run in common, x and y are at most as alike as x and z.
+So a text unlike the centre meets only texts that share such a run: one that the centre lacks (of
+these a prefix filter's worth is enough, own runs before the centre's), or, among texts whose sizes
+allow it, one that only the centre has.  Copies edited apart, each in its own way, share none, so a
+group of them costs rows in proportion to its texts and not to its pairs.  Runs found in many texts
+are dealt into blocks of ``pack``; texts of the component that holds most of a run's texts don't
+meet each other.  What meets is settled by the signatures if these agree on so few registers that
+the threshold is 4.5 standard deviations away, else on the exact bags.
+
+Steps are cut by tables in the shared folder, removed when nothing needs them any more.
 
 Defined cases: null and empty texts (no words) are singletons each, never linked to each other;
-texts of fewer than five words have one run of all their words; repeated doc_ids are one document
-for each (the class of a repeated id is that of its rows' least).
+texts of fewer than five words have one run of all their words; of a doc_id with several texts each
+text has its own class; rows without doc_id have the class of an equal text that has one, else null.
 """
 
 from __future__ import annotations
@@ -38,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, ensure_checkpoint_dir, mix64, slices, text_bytes, tidy, window_hashes
+from .common import Tables, WordHashes, fresh, mix64, slices, text_bytes, tidy, window_hashes
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -141,25 +147,37 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(out ^ (np.arange(bands, dtype=np.uint64) * _GOLD))
 
 
+def _digest(text):
+    """128 bits of a text's digest, null without words."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text) of the rows with words; h is a digest of the whole text."""
+    return docs.select(docs[id_col].alias("id"), _digest(docs[text_col]).alias("h"), docs[text_col].alias("text")).filter("h is not null")
+
+
 def _signed(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, keys): the band keys of each text with words."""
+    """(id, h, keys): the band keys of each text; copies inside a slice are signed once."""
 
     def run(batches):
         hashes = WordHashes()
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
-                bags = [bag(t.split(), hashes, k) for t in text_bytes(b.column(1))]
-                full = np.flatnonzero([len(e) > 0 for e, _ in bags])
-                keys = band_keys(signatures([bags[i] for i in full], bands * rows), bands, rows).view(np.int64)
-                ids = np.asarray(b.column(0))[full]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["id", "keys"])
+                digests = b.column(1).to_pylist()
+                first = {h: i for i, h in reversed(list(enumerate(digests)))}
+                place = {h: n for n, h in enumerate(first)}
+                column = text_bytes(b.column(2))
+                bags = [bag(column[i].split(), hashes, k) for i in first.values()]
+                keys = band_keys(signatures(bags, bands * rows), bands, rows).view(np.int64)[[place[h] for h in digests]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["id", "h", "keys"])
 
-    return texts.mapInArrow(tidy(run), "id long, keys array<long>")
+    return texts.mapInArrow(tidy(run), "id long, h binary, keys array<long>")
 
 
 def _bags(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, bag, small, sig): numbered bags, 32 bits of each of their hashes and 8 of each register."""
+    """(id, bag, sig): numbered bags and 8 bits of each register."""
 
     def run(batches):
         hashes = WordHashes()
@@ -167,14 +185,16 @@ def _bags(texts: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             for b in slices(whole, "text", 4 << 20):
                 bags = [bag(t.split(), hashes, k) for t in text_bytes(b.column(1))]
                 sigs = (signatures(bags, bands * rows) >> np.uint64(56)).astype(np.uint8)
-                full = [numbered(x) for x in bags]
-                small = [(x >> np.uint64(32)).astype("<u4").tobytes() for x in full]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(small, pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                    ["id", "bag", "small", "sig"],
+                    [b.column(0), pa.array([numbered(x).tobytes() for x in bags], pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                    ["id", "bag", "sig"],
                 )
 
-    return texts.mapInArrow(tidy(run), "id long, bag binary, small binary, sig binary")
+    return texts.mapInArrow(tidy(run), "id long, bag binary, sig binary")
+
+
+def _hashes(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -185,97 +205,166 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sims = [overlap(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)) for p, q in zip(b.column(2), b.column(3))]
+            sims = [overlap(_hashes(p), _hashes(q)) for p, q in zip(b.column(2), b.column(3))]
             keep = np.array(sims) >= threshold
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(tidy(run), "a long, b long")
 
 
-def _packs(rows: DataFrame, pack: int, prefix: str) -> DataFrame:
-    """(key, band, block, members): the rows of a key dealt into blocks of about ``pack`` by hash."""
-    n = rows.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / pack).alias("blocks"))
-    dealt = rows.join(n, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    return dealt.groupBy("key", "band", "block").agg(F.collect_list(F.struct("id", "root", "hub", "small", "sig")).alias(prefix))
+def _profiles(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(lead, id, root, hub, n, own, near, more, less) of the pairs (lead, id, root, hub).
 
+    own: runs of the text that its centre lacks; more: the least of them, up to the length of a
+    prefix filter; less: the runs of the centre that the text lacks, if own is a small enough
+    share; near: whether text and centre are alike themselves."""
+    x = bags.select(F.col("id").alias("i"), F.col("bag").alias("x"))
+    y = bags.select(F.col("id").alias("j"), F.col("bag").alias("y"))
+    rows = pairs.join(x, F.col("id") == F.col("i")).join(y, F.col("lead") == F.col("j")).select("lead", "id", "root", "hub", "x", "y")
 
-def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold: float, bands: int, rows: int, pack: int) -> DataFrame:
-    """Links (a, b) inside buckets between members of different components.
+    def run(batches):
+        for b in batches:
+            n, own, near, more, less = [], [], [], [], []
+            for p, q in zip(b.column(4), b.column(5)):
+                text, centre = _hashes(p), _hashes(q)
+                extra = np.setdiff1d(text, centre, assume_unique=True)
+                size, common = len(text), len(text) - len(extra)
+                n.append(size)
+                own.append(len(extra))
+                near.append(common / max(size + len(centre) - common, 1) >= threshold)
+                more.append(extra[: size - int(np.ceil(threshold * size - 1e-9)) + 1].view(np.int64))
+                inside = len(extra) <= (1 - threshold) * size + 1e-9
+                less.append(np.setdiff1d(centre, text, assume_unique=True).view(np.int64) if inside else extra[:0].view(np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (more, less)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int32()), pa.array(own, pa.int32()), pa.array(near, pa.bool_()), *lists], ["lead", "id", "root", "hub", "n", "own", "near", "more", "less"])
+
+    return rows.mapInArrow(tidy(run), "lead long, id long, root long, hub long, n int, own int, near boolean, more array<long>, less array<long>")
+
+
+def _candidates(profiles: DataFrame, threshold: float, pack: int) -> DataFrame:
+    """(a, b): texts of different components that may be alike, of which a is apart from the centre.
+
+    A text unlike the centre can only be like another one of the bucket if some run is in both and
+    not in the centre, or in neither and in the centre.  Without a run of the first kind all they
+    share are runs of the centre, which bounds the size of either by the other's profile."""
+    t = threshold
+    apart = F.col("root") != F.col("hub")
+    # the most runs that a partner may have that shares none of the text's own runs
+    top = F.floor((F.col("n") - F.col("own")) * ((1 + t) / t) + F.lit(1e-6)) - F.col("n")
+    p = profiles.withColumn("top", top).withColumn("apart", apart)
+    inner = p.filter(F.col("own") <= (1 - t) * F.col("n") + 1e-9)
+    bounds = inner.groupBy("lead").agg(F.max(F.when(F.col("apart"), F.col("top"))).alias("most"), F.min("n").alias("low"))
+    bounds = bounds.filter(F.col("most") >= F.col("low")).withColumnRenamed("lead", "l")
+    shorter = inner.join(bounds, F.col("lead") == F.col("l")).filter((F.col("n") <= F.col("most")) | (F.col("apart") & (F.col("top") >= F.col("low"))))
+    cols = ["lead", "id", "root", "n", "top", "apart"]
+    runs = p.select(*cols, F.explode("more").alias("run"), F.lit(False).alias("lacks"))
+    runs = runs.union(shorter.select(*cols, F.explode("less").alias("run"), F.lit(True).alias("lacks")))
+    runs = runs.withColumn("key", F.xxhash64("lead", "run", "lacks"))
+    # pairs of one component are no candidates: the most frequent one of a key meets the others only
+    held = runs.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("apart").alias("any"))
+    held = held.groupBy("key").agg(F.count("*").alias("kinds"), F.max("any").alias("any"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("m"))
+    held = held.filter((F.col("kinds") > 1) & F.col("any")).select("key", F.col("m.root").alias("major"), F.ceil(F.col("all") / pack).alias("blocks"))
+    dealt = runs.join(held, "key")
+    few = dealt.filter(F.col("root") != F.col("major")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in ("id", "root", "n", "top", "apart", "lacks")])
+    whole = dealt.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "top", "apart")])
+    fit = (F.col("root1") != F.col("root2")) & (F.col("apart1") | F.col("apart2")) & (F.least("n1", "n2") >= t * F.greatest("n1", "n2") - 1e-9)
+    fit &= ~F.col("lacks1") | (F.col("n2") <= F.col("top1")) & (F.col("n1") <= F.col("top2"))
+    pairs = few.join(whole, ["key", "block"]).filter(fit)
+    first = F.col("apart1") & (~F.col("apart2") | (F.col("id1") > F.col("id2")))
+    pairs = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("a"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("b"))
+    return pairs.union(profiles.filter(apart & F.col("near")).select("id", "lead")).distinct()
 
-    Packs carry 32 bits of each hash, which can only make bags more alike; what passes is verified
-    on the whole hashes."""
+
+def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold: float, bands: int, rows: int, pack: int) -> DataFrame:
+    """Links (a, b) inside buckets between members of different components."""
     root = roots.select(F.col("node").alias("id"), "root")
     hub = roots.select(F.col("node").alias("lead"), F.col("root").alias("hub"))
-    m = members.join(root, "id", "left").join(hub, "lead", "left")
-    m = m.select("key", "band", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub", "lead").alias("hub"))
-    several = m.groupBy("key").agg(F.max(F.col("root") != F.col("hub")).alias("open")).filter("open").select("key")
-    m = m.join(several, "key").join(bags.select("id", "small", "sig"), "id")
-    pairs = _packs(m.filter("root <> hub"), pack, "left").join(_packs(m, pack, "right"), "key").select("left", "right")
+    m = members.select("lead", "id").distinct().join(root, "id", "left").join(hub, "lead", "left")
+    m = m.select("lead", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub", "lead").alias("hub"))
+    several = m.groupBy("lead").agg(F.max(F.col("root") != F.col("hub")).alias("open")).filter("open").select("lead")
+    work = Tables(members.sparkSession, "residual")
+    profiles = work.keep(_profiles(m.filter("id <> lead").join(several, "lead"), bags, threshold), "profiles")
+    # signatures settle most of what can't be alike before whole bags travel
     sigma = (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     least = (threshold - 4.5 * sigma) * bands * rows
-
-    def unpack(members):
-        ids = np.array([x["id"] for x in members], np.int64)
-        root = np.array([x["root"] for x in members], np.int64)
-        hub = np.array([x["hub"] for x in members], np.int64)
-        return ids, root, root != hub, [np.frombuffer(x["small"], "<u4") for x in members], np.array([np.frombuffer(x["sig"], np.uint8) for x in members])
+    x = bags.select(F.col("id").alias("i"), F.col("sig").alias("x"))
+    y = bags.select(F.col("id").alias("j"), F.col("sig").alias("y"))
+    found = _candidates(profiles, threshold, pack).join(x, F.col("a") == F.col("i")).join(y, F.col("b") == F.col("j")).select("a", "b", "x", "y")
 
     def run(batches):
         for b in batches:
-            found: list[tuple[int, int]] = []
-            for i in range(b.num_rows):
-                left, right = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                la, lr, _, lb, ls = unpack(left)
-                ra, rr, ro, rb, rs = unpack(right)
-                sizes = np.array([len(x) for x in rb])
-                for k in range(len(la)):
-                    same = rs == ls[k]
-                    n = len(lb[k])
-                    # two open members meet twice: the lesser id looks at the greater
-                    fit = (rr != lr[k]) & (~ro | (ra > la[k])) & (same.sum(1) >= least)
-                    fit &= np.minimum(sizes, n) >= threshold * np.maximum(sizes, n)
-                    found += [(int(la[k]), int(ra[j])) for j in np.flatnonzero(fit) if overlap(lb[k], rb[j]) >= threshold]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-    return _verified(pairs.mapInArrow(tidy(run), "a long, b long").distinct(), bags, threshold)
-
-
-def text_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rep): rep is the least id of the rows with an equal text; null without words."""
-    has_words = F.col("t").rlike(r"[^\x20\x09-\x0D]")
-    ids = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("t"))
-    ids = ids.select("doc_id", F.when(has_words, F.sha2("t", 256)).alias("h"))
-    reps = ids.filter("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"))
-    return ids.join(reps, "h", "left").select("doc_id", "rep")
-
-
-def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, pack: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id): class_id is the least doc_id of the document's class."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    equal = text_classes(docs, id_col=id_col, text_col=text_col).checkpoint()
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).filter("id is not null")
-    first = equal.filter("doc_id = rep").select(F.col("rep").alias("id")).distinct()
+            same = [np.count_nonzero(np.frombuffer(p.as_buffer(), np.uint8) == np.frombuffer(q.as_buffer(), np.uint8)) for p, q in zip(b.column(2), b.column(3))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(np.array(same) >= least, pa.bool_()))
+
+    links = work.keep(_verified(found.mapInArrow(tidy(run), "a long, b long"), bags, threshold), "links")
+    work.remove("profiles")
+    return links
+
+
+def _text_classes(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, pack: int, id_col: str, text_col: str) -> DataFrame:
+    """(h, class_id): the least id of the class of each text with words."""
+    work = Tables(docs.sparkSession, "near-duplicates")
+    texts = _keyed(docs, id_col, text_col)
+    # one row a text; ids alone may repeat for different texts, so a text's node is its least id
+    # only where no other text has the same one
+    signed = _signed(texts.filter("id is not null"), k, bands, rows).groupBy("h").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
+    signed = work.keep(signed, "signed")
+    shared = signed.groupBy("rep").agg(F.count("*").alias("c"), F.min("h").alias("f")).filter("c > 1").select(F.col("rep").alias("r"), "f")
+    repeated = not shared.isEmpty()
+    node = F.col("rep")
+    if repeated:
+        signed = signed.join(shared, F.col("rep") == F.col("r"), "left")
+        node = F.when(F.col("f").isNull() | (F.col("f") == F.col("h")), F.col("rep")).otherwise(F.xxhash64("h"))
+    signed = signed.select("h", "rep", node.alias("id"), "keys")
+    banded = signed.select("id", F.explode("keys").alias("key"))
     # buckets of one member are no candidates
-    banded = _signed(texts, k, bands, rows).join(first, "id", "left_semi").select("id", F.posexplode("keys").alias("band", "key")).checkpoint()
-    full = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = banded.join(full, "key").checkpoint()
+    held = work.keep(banded.join(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "held")
     degree = held.groupBy("id").agg(F.sum("n").alias("degree"))
     lead = held.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("m")).select("key", (-F.col("m.id")).alias("lead"))
-    members = held.join(lead, "key").select("key", "band", "id", "lead").checkpoint()
-    bags = _bags(texts.join(members.select("id").distinct(), "id", "left_semi"), k, bands, rows).checkpoint()
-    pairs = members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = _verified(pairs, bags, threshold).checkpoint()
-    roots = components(links)
-    more = _residual(members, roots, bags, threshold, bands, rows, pack).checkpoint()
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    out = equal.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    members = work.keep(held.select("key", "id").join(lead, "key").select("id", "lead").distinct(), "members")
+    wanted = signed.select("h", "rep", "id").join(members.select("id").distinct(), "id", "left_semi").select(F.col("h").alias("wh"), F.col("rep").alias("wr"), F.col("id").alias("node"))
+    bags = _bags(texts.join(wanted, (F.col("id") == F.col("wr")) & (F.col("h") == F.col("wh"))).select(F.col("node").alias("id"), "text"), k, bands, rows)
+    bags = work.keep(bags, "bags")
+    twice = bags.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
+    if not twice.isEmpty():  # whole rows that repeat
+        bags = bags.join(twice, "id", "left_anti").union(bags.join(twice, "id", "left_semi").dropDuplicates(["id"]))
+    links = work.keep(_verified(members.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), bags, threshold), "links")
+    roots = work.keep(components(links), "roots")
+    more = _residual(members, roots, bags, threshold, bands, rows, pack)
+    if not more.isEmpty():  # the links between components join their roots
+        at = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}r")) for x in ("a", "b")]
+        between = more.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        known = roots.union(more.select(F.col("a").alias("node"), F.col("a").alias("root"))).union(more.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        known = known.groupBy("node").agg(F.min("root").alias("root"))
+        roots = known.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    named = signed.select("h", "rep", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("h", "rep", F.coalesce("root", "id").alias("class_id"))
+    if repeated:
+        least = named.groupBy("class_id").agg(F.min("rep").alias("least"))
+        named = named.join(least, "class_id").select("h", F.col("least").alias("class_id"))
+    for name in ("bags", "held", "members", "links"):
+        work.remove(name)
+    return named.select("h", "class_id")
+
+
+def _row_classes(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, pack: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h, class_id) of every row."""
+    classes = _text_classes(docs, k, threshold, bands, rows, pack, id_col, text_col)
+    return docs.select(docs[id_col].alias("doc_id"), _digest(docs[text_col]).alias("h")).join(classes, "h", "left").select("doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, pack: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id), one row a row of ``docs``: class_id is the least doc_id of the row's class."""
+    return _row_classes(docs, k, threshold, bands, rows, pack, id_col, text_col).select("doc_id", "class_id")
+
+
+def drop_near_duplicates(docs: DataFrame, *, k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5, pack: int = 64) -> DataFrame:
     """The rows of ``docs`` (same columns) whose document is the least of its class.
 
-    Rows without id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), **params).filter("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    Rows without id stay.  A row is judged by its own text, so an id with several texts keeps those
+    that no lesser id has; rows equal in id and text stay or go together."""
+    gone = _row_classes(docs, k, threshold, bands, rows, pack, "doc_id", "text").filter("doc_id <> class_id")
+    own, i, h = fresh(docs, "own", "i", "h")
+    gone = gone.select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    rows_ = docs.withColumn(own, _digest(docs["text"]))
+    return rows_.join(gone, (rows_["doc_id"] == F.col(i)) & (F.col(own) == F.col(h)), "left_anti").drop(own)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,18 +27,43 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder is chosen and set."""
+    Where that setting is absent a temporary folder is chosen and set, in local mode alone: on a
+    cluster other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """checkpoint() needs the context's directory; take the cluster's, else a temporary one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoints"))
+class Tables:
+    """Written tables in the shared folder: they cut lineage and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_dir(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def remove(self, name: str) -> None:
+        """Free a table that no unfinished result reads."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -226,5 +250,3 @@ def host_of(column):
 def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-SPACES = re.compile(rb"[\x20\x09-\x0D]+")

@@ -153,6 +153,103 @@ def test_residual_looks_at_pairs_in_their_true_buckets(spark):
     assert [tuple(r) for r in _residual(members, roots, bags, 0.8, 24, 5, 4).collect()] == [(2, 1)]
 
 
+def _group(rng, n, words=100):
+    """A text and its copies: words replaced, left out, cut off at the end, and copies of copies."""
+    base = [f"g{rng.randrange(10**6)}" for _ in range(words)]
+    out = [base]
+    for _ in range(n):
+        w = list(out[rng.randrange(len(out))] if rng.random() < 0.3 else base)
+        for _ in range(rng.randrange(0, 8)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [f"n{rng.randrange(10**6)}"] if rng.random() < 0.7 else []
+        if rng.random() < 0.2:
+            w = w[: rng.randrange(len(w) // 2, len(w))]
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_residual_finds_every_link_of_a_bucket(spark, seed):
+    """Components of a bucket from its centre's links and the residual's, against all pairs."""
+    from docloom.llm.bagminhash import _bags, _residual
+    from docloom.llm.components import components
+
+    texts = _group(random.Random(seed), 120)
+    rows = list(enumerate(texts))
+    bags_ = _bags(spark.createDataFrame(rows, "id long, text string"), 5, 24, 5).persist()
+    b = bags(texts)
+    star = [(i, 0) for i in range(1, len(texts)) if similarity(b[i], b[0]) >= 0.8]
+    members = spark.createDataFrame([(i, 0) for i in range(len(texts))], "id long, lead long")
+    star = spark.createDataFrame(star, "a long, b long")
+    more = _residual(members, components(star), bags_, 0.8, 24, 5, 4)
+    got = {r.node: r.root for r in components(star.union(more)).collect()}
+    assert {i: got.get(i, i) for i, _ in rows} == brute_classes(rows)
+
+
+def test_copies_edited_apart_cost_no_pairs(spark):
+    """Texts that share bands with their centre and reach the threshold with nobody: linear work."""
+    from docloom.llm.bagminhash import _bags, _candidates, _profiles
+
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    made = []
+    for n in (200, 800):
+        texts = [base]
+        for _ in range(n):
+            w = list(base)
+            for at in rng.sample(range(150), 9):
+                w[at] = f"n{rng.randrange(10**9)}"
+            texts.append(w)
+        rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+        pairs = spark.createDataFrame([(0, i, i, 0) for i in range(1, n + 1)], "lead long, id long, root long, hub long")
+        profiles = _profiles(pairs, _bags(spark.createDataFrame(rows, "id long, text string"), 5, 24, 5), 0.8)
+        got = profiles.agg(F.sum(F.size("more") + F.size("less")).alias("runs"), F.sum(F.col("near").cast("int")).alias("near")).first()
+        made.append((n, got.runs, _candidates(profiles, 0.8, 64).count()))
+    for n, runs, candidates in made:
+        assert runs <= 80 * n and candidates <= n
+
+
+def test_planted_near_copies_are_caught(spark):
+    """One changed word in a text of 60, two in 150, a cut end: 0.83 or more alike; all have to be found."""
+    from docloom.llm.bagminhash import near_duplicates
+
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for g in range(150):
+        w = [f"p{rng.randrange(10**6)}" for _ in range(60 if g % 3 else 150)]
+        v = list(w)
+        for at in (20,) if g % 3 else (20, 90):
+            v[at] = "changed"
+        if g % 15 == 0:
+            v = v[:-4]
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_near_duplicates_of_the_table_against_brute_force(spark, sf_dir):
+    from docloom.llm.bagminhash import near_duplicates
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert {r.doc_id: r.class_id for r in near_duplicates(docs).collect()} == brute_classes([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
+def test_dropping_keeps_every_text(spark):
+    """An id with several texts is judged text by text; columns may have any name."""
+    from docloom.llm.bagminhash import drop_near_duplicates
+
+    a, b = ("one two three four five six seven eight nine ten", "other words of a text that has nothing of the first")
+    rows = [(3, b), (5, a), (5, b), (7, a), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("gone", "own", "i", "h", "class_id"):
+        docs = docs.withColumn(c, F.lit(1))
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(3, b), (5, a), (7, "")])
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     from docloom.llm.bagminhash import drop_near_duplicates, near_duplicates
 
