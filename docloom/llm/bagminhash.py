@@ -20,15 +20,16 @@ escapes all 24 bands of 5 with probability 7e-5.  Equal texts are grouped exactl
 Buckets aren't expanded into pairs.  In a first step the members of a bucket are compared with its
 most central member alone (the one whose buckets hold most members in all), which joins nearly
 every group.  Only buckets that still hold several components are looked at again, by what their
-texts have that the centre has not.  For centre z, texts x and y and d the difference of their sets
-of runs from z's: if d(x) and d(y) have no run in common, x and y are at most as alike as x and z.
-So a text unlike the centre meets only texts that share such a run: one that the centre lacks (of
-these a prefix filter's worth is enough, own runs before the centre's), or, among texts whose sizes
-allow it, one that only the centre has.  Copies edited apart, each in its own way, share none, so a
-group of them costs rows in proportion to its texts and not to its pairs.  Runs found in many texts
-are dealt into blocks of ``pack``; texts of the component that holds most of a run's texts don't
-meet each other.  What meets is settled by the signatures if these agree on so few registers that
-the threshold is 4.5 standard deviations away, else on the exact bags.
+texts have that a centre has not (the text that leads most members of a component's buckets).  For
+centre z, texts x and y and d the difference of their sets of runs from z's: if d(x) and d(y) have
+no run in common, x and y are at most as alike as x and z.  So a text unlike the centre meets only
+texts that share such a run: one that the centre lacks, rare ones first and only while enough others
+may follow to reach the threshold, or, among texts whose sizes allow it, one that only the centre
+has.  Copies edited apart, each in its own way, share none, so a group of them costs rows in
+proportion to its texts and not to its pairs.  Runs found in many texts are dealt into blocks of
+``pack``; texts of the component that holds most of a run's texts don't meet each other.  What meets
+is settled by the signatures if these agree on so few registers that the threshold is 4.5 standard
+deviations away, else on the exact bags.
 
 Steps are cut by tables in the shared folder, removed when nothing needs them any more.
 
@@ -41,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, WordHashes, fresh, mix64, slices, text_bytes, tidy, window_hashes
@@ -215,9 +216,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 def _profiles(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """(lead, id, root, hub, n, own, near, more, less) of the pairs (lead, id, root, hub).
 
-    own: runs of the text that its centre lacks; more: the least of them, up to the length of a
-    prefix filter; less: the runs of the centre that the text lacks, if own is a small enough
-    share; near: whether text and centre are alike themselves."""
+    more: the runs of the text that its centre lacks, own their number; less: the runs of the centre
+    that the text lacks, if own is a small enough share; near: whether text and centre are alike."""
     x = bags.select(F.col("id").alias("i"), F.col("bag").alias("x"))
     y = bags.select(F.col("id").alias("j"), F.col("bag").alias("y"))
     rows = pairs.join(x, F.col("id") == F.col("i")).join(y, F.col("lead") == F.col("j")).select("lead", "id", "root", "hub", "x", "y")
@@ -232,7 +232,7 @@ def _profiles(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
                 n.append(size)
                 own.append(len(extra))
                 near.append(common / max(size + len(centre) - common, 1) >= threshold)
-                more.append(extra[: size - int(np.ceil(threshold * size - 1e-9)) + 1].view(np.int64))
+                more.append(extra.view(np.int64))
                 inside = len(extra) <= (1 - threshold) * size + 1e-9
                 less.append(np.setdiff1d(centre, text, assume_unique=True).view(np.int64) if inside else extra[:0].view(np.int64))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (more, less)]
@@ -242,7 +242,7 @@ def _profiles(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
 
 def _candidates(profiles: DataFrame, threshold: float, pack: int) -> DataFrame:
-    """(a, b): texts of different components that may be alike, of which a is apart from the centre.
+    """(a, b), with repeats: texts of different components that may be alike, a is apart from the centre.
 
     A text unlike the centre can only be like another one of the bucket if some run is in both and
     not in the centre, or in neither and in the centre.  Without a run of the first kind all they
@@ -256,31 +256,39 @@ def _candidates(profiles: DataFrame, threshold: float, pack: int) -> DataFrame:
     bounds = inner.groupBy("lead").agg(F.max(F.when(F.col("apart"), F.col("top"))).alias("most"), F.min("n").alias("low"))
     bounds = bounds.filter(F.col("most") >= F.col("low")).withColumnRenamed("lead", "l")
     shorter = inner.join(bounds, F.col("lead") == F.col("l")).filter((F.col("n") <= F.col("most")) | (F.col("apart") & (F.col("top") >= F.col("low"))))
-    cols = ["lead", "id", "root", "n", "top", "apart"]
+    cols = ["lead", "id", "root", "n", "own", "top", "apart"]
     runs = p.select(*cols, F.explode("more").alias("run"), F.lit(False).alias("lacks"))
     runs = runs.union(shorter.select(*cols, F.explode("less").alias("run"), F.lit(True).alias("lacks")))
-    runs = runs.withColumn("key", F.xxhash64("lead", "run", "lacks"))
+    key = ["lead", "run", "lacks"]
     # pairs of one component are no candidates: the most frequent one of a key meets the others only
-    held = runs.groupBy("key", "root").agg(F.count("*").alias("c"), F.max("apart").alias("any"))
-    held = held.groupBy("key").agg(F.count("*").alias("kinds"), F.max("any").alias("any"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("m"))
-    held = held.filter((F.col("kinds") > 1) & F.col("any")).select("key", F.col("m.root").alias("major"), F.ceil(F.col("all") / pack).alias("blocks"))
-    dealt = runs.join(held, "key")
-    few = dealt.filter(F.col("root") != F.col("major")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in ("id", "root", "n", "top", "apart", "lacks")])
-    whole = dealt.select("key", F.pmod(F.xxhash64("id"), "blocks").alias("block"), *[F.col(c).alias(f"{c}2") for c in ("id", "root", "n", "top", "apart")])
+    held = runs.groupBy(*key, "root").agg(F.count("*").alias("c"), F.max("apart").alias("any"))
+    held = held.groupBy(*key).agg(F.count("*").alias("kinds"), F.max("any").alias("any"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("m"))
+    held = held.filter((F.col("kinds") > 1) & F.col("any")).select(*key, "all", F.col("m.root").alias("major"), F.ceil(F.col("all") / pack).alias("blocks"))
+    # rare runs first: the run by which a pair is first found has e - 1 at most behind it that both may have
+    order = Window.partitionBy("lead", "id", "lacks").orderBy(F.desc("all"), "run")
+    dealt = runs.join(held, key).withColumn("e", F.row_number().over(order))
+    dealt = dealt.filter(F.col("lacks") | (F.col("e") >= F.col("own") - F.col("n") + F.ceil(t * F.col("n") - 1e-9)))
+    few = dealt.filter(F.col("root") != F.col("major")).select(*key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in (*cols[1:], "e")])
+    whole = dealt.select(*key, F.pmod(F.xxhash64("id"), "blocks").alias("block"), *[F.col(c).alias(f"{c}2") for c in (*cols[1:], "e")])
     fit = (F.col("root1") != F.col("root2")) & (F.col("apart1") | F.col("apart2")) & (F.least("n1", "n2") >= t * F.greatest("n1", "n2") - 1e-9)
-    fit &= ~F.col("lacks1") | (F.col("n2") <= F.col("top1")) & (F.col("n1") <= F.col("top2"))
-    pairs = few.join(whole, ["key", "block"]).filter(fit)
+    need = F.ceil((F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-6) - F.least(F.col("n1") - F.col("own1"), F.col("n2") - F.col("own2"))
+    fit &= F.when(F.col("lacks"), (F.col("n2") <= F.col("top1")) & (F.col("n1") <= F.col("top2"))).otherwise(F.least("e1", "e2") >= need)
+    pairs = few.join(whole, [*key, "block"]).filter(fit)
     first = F.col("apart1") & (~F.col("apart2") | (F.col("id1") > F.col("id2")))
     pairs = pairs.select(F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("a"), F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("b"))
-    return pairs.union(profiles.filter(apart & F.col("near")).select("id", "lead")).distinct()
+    return pairs.union(profiles.filter(apart & F.col("near")).select("id", "lead"))
 
 
 def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold: float, bands: int, rows: int, pack: int) -> DataFrame:
     """Links (a, b) inside buckets between members of different components."""
     root = roots.select(F.col("node").alias("id"), "root")
     hub = roots.select(F.col("node").alias("lead"), F.col("root").alias("hub"))
-    m = members.select("lead", "id").distinct().join(root, "id", "left").join(hub, "lead", "left")
-    m = m.select("lead", "id", F.coalesce("root", "id").alias("root"), F.coalesce("hub", "lead").alias("hub"))
+    m = members.select("lead", "id").distinct()
+    # buckets led by texts of one component share its centre, the lead with most members
+    leads = m.groupBy("lead").agg(F.count("*").alias("n")).join(hub, "lead", "left").withColumn("hub", F.coalesce("hub", "lead"))
+    centre = leads.groupBy("hub").agg(F.max(F.struct("n", (-F.col("lead")).alias("lead"))).alias("m")).select("hub", (-F.col("m.lead")).alias("centre"))
+    m = m.join(leads.select("lead", "hub").join(centre, "hub"), "lead").select(F.col("centre").alias("lead"), "hub", "id").distinct().join(root, "id", "left")
+    m = m.select("lead", "id", F.coalesce("root", "id").alias("root"), "hub")
     several = m.groupBy("lead").agg(F.max(F.col("root") != F.col("hub")).alias("open")).filter("open").select("lead")
     work = Tables(members.sparkSession, "residual")
     profiles = work.keep(_profiles(m.filter("id <> lead").join(several, "lead"), bags, threshold), "profiles")
@@ -289,7 +297,7 @@ def _residual(members: DataFrame, roots: DataFrame, bags: DataFrame, threshold:
     least = (threshold - 4.5 * sigma) * bands * rows
     x = bags.select(F.col("id").alias("i"), F.col("sig").alias("x"))
     y = bags.select(F.col("id").alias("j"), F.col("sig").alias("y"))
-    found = _candidates(profiles, threshold, pack).join(x, F.col("a") == F.col("i")).join(y, F.col("b") == F.col("j")).select("a", "b", "x", "y")
+    found = _candidates(profiles, threshold, pack).distinct().join(x, F.col("a") == F.col("i")).join(y, F.col("b") == F.col("j")).select("a", "b", "x", "y")
 
     def run(batches):
         for b in batches:
