@@ -2,13 +2,15 @@
 
 The base patterns are the contract's own.  The CRF finds what they miss: spelled-out addresses
 ("ann at mail dot example dot com"), national telephone formats, IPv4 numbers written with other
-separators, card numbers grouped by dots or slashes.  It is trained here, from the small labelled
+separators, card numbers grouped by dots, slashes or colons.  It is trained here, from the small labelled
 table that ``labelled_table`` builds from templates, by gradient ascent on the conditional
 likelihood, and decoded by Viterbi in numpy batches.
 
 A plain word between plain words can only be O: that is a constraint of the model, in training as
 in decoding.  Such words cut a text into short stretches, each preceded and followed by O, whose
 best paths are independent of each other, so they are decoded exactly, thousands in one batch.
+Whether a word's digits pass Luhn is part of its shape, numbers that fail are among the training
+table's negatives, and a found card or IPv4 number has to be a valid one.
 
 Defined cases: null and empty texts have no spans.  Base spans stay as they are; a CRF span that
 overlaps a base span is dropped.
@@ -16,6 +18,7 @@ overlaps a base span is dropped.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -29,9 +32,12 @@ from .common import slices, text_bytes, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The base patterns.
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns, in forms that take time in proportion to the text: an address is
+# looked for around each @, and four numbers only where a run of digits starts (a match from inside
+# a run would match from its start too, and no match ends inside one).
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -50,11 +56,25 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+def _emails(text: str) -> list[tuple[int, int, int]]:
+    out, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        host = _HOST.match(text, at + 1) if start < at else None
+        free = at + 1  # what lies before cannot reach a later @
+        if host:
+            free = host.end()
+            out.append((start, free, 0))
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind number) of the base patterns, sorted by start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), m.end(), 0) for m in _EMAIL.finditer(text) if m]
+    out = _emails(text)
     for m in _IP.finditer(text):
         if all(len(p) < 20 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in m.group().split("."))):
             out.append((m.start(), m.end(), 1))
@@ -82,7 +102,8 @@ _EDGE = b".,;:!?\"'"
 
 def shape(word: bytes) -> str:
     """Shape class of a word: a cue, 'w' (plain), or its shape if it holds digits or signs: x for
-    letters; d, t, q, n, c, z for one or two, three, four, up to 11, up to 19 and more digits."""
+    letters; d, t, q, n, c, z for one or two, three, four, up to 11, up to 19 and more digits; with
+    a leading * if all its digits could be a card's."""
     core = word.strip(_EDGE)
     text = core.decode("utf-8", "replace")
     if text.lower() in _CUES:
@@ -103,7 +124,22 @@ def shape(word: bytes) -> str:
             out.append(g)
         if len(out) > 12:
             break
-    return "".join(out)
+    return ("*" if len(text) < 64 and _is_card(text) else "") + "".join(out)
+
+
+def _is_card(text: str) -> bool:
+    d = _digits(text)
+    return 12 <= len(d) <= 19 and luhn(d)
+
+
+def plausible(text: str, kind: int) -> bool:
+    """Whether what the CRF found can be of its kind: a card passes Luhn, an IPv4 number has four parts up to 255."""
+    if kind == 2:
+        return _is_card(text)
+    if kind == 1:
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
+    return True
 
 
 #: Endings of host names.
@@ -122,11 +158,18 @@ def labelled_table(n: int = 600, seed: int = 11) -> list[tuple[list[bytes], list
     def plain(k):
         return [("".join(rng.choice(list("aeiorstnlh"), rng.integers(2, 9)))) + str(rng.choice(["", "", "", ",", "."])) for _ in range(k)]
 
+    def number(valid):
+        """Sixteen digits in fours that pass Luhn or don't."""
+        while True:
+            got = ["4" + digits(3), digits(4), digits(4), digits(4)]
+            if luhn("".join(got)) == valid:
+                return got
+
     def part():
         a, b, c = digits(3), digits(3), digits(4)
         ip = [str(rng.integers(1, 255)) for _ in range(4)]
         name = "".join(rng.choice(list("aeiorstnlh"), 5))
-        card = ["4" + digits(3), digits(4), digits(4), digits(4)]
+        card = number(True)
         return [
             ("email", [name, "at", "mail", "dot", "example", "dot", "com"]),
             ("email", [name, "at", name, "dot", "com"]),
@@ -138,7 +181,7 @@ def labelled_table(n: int = 600, seed: int = 11) -> list[tuple[list[bytes], list
             ("card", ["".join(card)]),
             ("card", [".".join(card)]),
             ("card", ["/".join(card)]),
-            ("card", card),
+            ("card", [":".join(card)]),
             ("phone", [f"({a})", f"{b}-{c}"]),
             ("phone", ["+1", f"({a})", f"{b}-{c}"]),
             ("phone", [f"{a}-{b}-{c}"]),
@@ -167,7 +210,11 @@ def labelled_table(n: int = 600, seed: int = 11) -> list[tuple[list[bytes], list
             ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), rng.integers(8, 24)))],
             ["key=" + "".join(rng.choice(list("abcdef0123456789"), rng.integers(8, 24)))],
             ["".join(rng.choice(list("abcdef0123456789"), rng.integers(8, 44)))],
-        ][rng.integers(20)]
+            ["".join(number(False))],
+            [rng.choice(list("./:-")).join(number(False))],
+            number(False),
+            [digits(rng.integers(12, 20))],
+        ][rng.integers(24)]
 
     out = []
     for _ in range(n):
@@ -404,15 +451,22 @@ def find(finder: Finder, texts: list[bytes]) -> list[tuple[list[tuple[int, int,
         added = []
         if found:
             at = [(m.start(), m.end()) for m in _TOKEN.finditer(raw)]
+            # base spans by start, with the farthest end so far
+            starts, ends, top = [s for s, _, _ in base], [], 0
+            for _, e, _ in base:
+                ends.append(top := max(top, e))
+            byte = point = 0  # how far code points are counted
             for a, b, kind in found:
                 first, last = at[a][0], at[b - 1][1]
                 while raw[last - 1] in _EDGE and last - 1 > first:
                     last -= 1
                 while raw[first] in _EDGE and first + 1 < last:
                     first += 1
-                s = len(raw[:first].decode("utf-8", "replace"))
+                s = point + len(raw[byte:first].decode("utf-8", "replace"))
                 e = s + len(raw[first:last].decode("utf-8", "replace"))
-                if not any(s < y and x < e for x, y, _ in base):
+                byte, point = last, e
+                n = bisect.bisect_left(starts, e)
+                if (not n or ends[n - 1] <= s) and plausible(text[s:e], kind):
                     added.append((s, e, kind))
         out.append((base, sorted(base + added)))
     return out
