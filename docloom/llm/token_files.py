@@ -139,6 +139,8 @@ def _put(path: str, name: str, data: bytes) -> None:
     hidden = f"{root}/.{name}-{TaskContext.get().taskAttemptId()}"
     with store.open_output_stream(hidden) as f:
         f.write(data)
+    if store.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:  # of an attempt that was lost
+        store.delete_file(f"{root}/{name}")
     store.move(hidden, f"{root}/{name}")
 
 
