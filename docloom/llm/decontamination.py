@@ -7,9 +7,11 @@ a space at either end, are scanned once; each window of an item (``window`` cons
 the whole item if it has fewer) is a pattern with a space at either end, so matches start and end
 at words.  Match positions are mapped to word numbers, and by ``spans`` to the original text.
 
-The automaton is broadcast, so the benchmark is measured first: it is cut into blocks of at most
-``block_bytes``, one automaton each.  One block is the normal case; with more, each block is one
-pass over the documents and the passes' hits are put together per document.
+The benchmark is broadcast and made an automaton once in each worker.  An automaton takes about 48
+bytes a state and a benchmark has up to ten states a byte (each word is in ten windows), so it is
+measured first and cut into blocks of at most ``block_bytes`` of text, a quarter of a gigabyte of
+automaton each.  One block is the normal case; with more, each block is one narrow pass over the
+documents, only hits are written, and they are put together by the texts' digests.
 
 Defined cases: null and empty texts have no words, are never hit, and as items give no windows.
 Items that repeat the same words are all reported.  A repeated doc_id is one output row for each
@@ -19,6 +21,7 @@ input row.
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import chain
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir, slices, text_bytes, tidy
+from .common import Tables, fresh, pick, slices, text_bytes, tidy
 
 
 def _table() -> bytes:
@@ -115,18 +118,32 @@ def blocks(benchmark: DataFrame, block_bytes: int, id_col: str = "item_id", text
         yield [(r.i, r.t.encode()) for r in part.collect()]
 
 
+#: The automaton of the latest block in this worker, by its name and window.
+_latest: dict[tuple[str, int], Windows] = {}
 
 
-def _scanned(rows: DataFrame, block: list[tuple[str, bytes]], window: int, columns: list[str]) -> DataFrame:
+def _windows(sent, window: int) -> Windows:
+    key = (sent.value[0], window)
+    if key not in _latest:
+        _latest.clear()  # the one before goes first
+        _latest[key] = Windows(list(sent.value[1]), window)
+    return _latest[key]
+
+
+def _sent(spark, block: list[tuple[str, bytes]]):
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, tuple(block)))
+
+
+def _scanned(rows: DataFrame, block: list[tuple[str, bytes]], window: int, columns: list[str], keep_spans: bool) -> DataFrame:
     """``columns`` of each row, with its number of words and what one block's windows hit."""
-    sent = rows.sparkSession.sparkContext.broadcast(tuple(block))
+    sent = _sent(rows.sparkSession, block)
     text_at, places = rows.columns.index("text"), [rows.columns.index(c) for c in columns]
     kinds = dict(rows.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "n_words long, covered array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
     pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        w = Windows(list(sent.value), window)
+        w = _windows(sent, window)
         for whole in batches:
             for b in slices(whole, "text"):
                 texts = text_bytes(b.column(text_at))
@@ -139,7 +156,7 @@ def _scanned(rows: DataFrame, block: list[tuple[str, bytes]], window: int, colum
                         pa.array([len(ws) for ws in words], pa.int64()),
                         as_pairs([c for c, _ in found]),
                         pa.array([[w.names[i] for i in sorted(who)] for _, who in found], pa.list_(pa.string())),
-                        as_pairs([spans(t.decode(), c) if c else [] for t, (c, _) in zip(texts, found)]),
+                        as_pairs([spans(t.decode(), c) if c and keep_spans else [] for t, (c, _) in zip(texts, found)]),
                     ],
                     [*columns, "n_words", "covered", "items", "spans"],
                 )
@@ -147,38 +164,33 @@ def _scanned(rows: DataFrame, block: list[tuple[str, bytes]], window: int, colum
     return rows.mapInArrow(tidy(run), schema)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str, item_col: str) -> DataFrame:
-    """(doc_id, n_words, covered, items, spans) of every row, over all blocks.
-
-    One block, the normal case, is one narrow pass.  More are a pass each, one automaton after the
-    other; of each only the rows it hits are kept, in the shared folder, and put together by text."""
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str, item_col: str, keep_spans: bool) -> DataFrame:
+    """(doc_id, n_words, covered, items, spans) of every row, over all blocks."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
     parts = blocks(benchmark, block_bytes, item_col, text_col)
     first = next(parts)
-    out = _scanned(rows, first, window, ["doc_id"])
     second = next(parts, None)
     if second is None:
-        return out
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "hits")
+        return _scanned(rows, first, window, ["doc_id"], keep_spans)
     keyed = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
-    made = None
+    work, lists, found = Tables(docs.sparkSession, "hits"), ("covered", "items", "spans"), None
     for k, block in enumerate(chain([first, second], parts)):
-        made = _scanned(texts, block, window, ["key"]).filter(F.size("items") > 0)
-        made.write.parquet(f"{path}/block={k}")
-    found = spark.read.schema(made.schema).parquet(*(f"{path}/block={i}" for i in range(k + 1)))
+        # equal texts have equal hits, so the first will do
+        made = _scanned(keyed, block, window, ["key"], keep_spans).filter(F.size("items") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in lists])
+        made = work.keep(made, f"block{k}")
+        found = made if found is None else found.union(made)
     found = found.groupBy(F.col("key").alias("of")).agg(
         F.array_sort(F.flatten(F.collect_list("covered"))).alias("covered"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")
     )
-    counted = _scanned(keyed, [], window, ["doc_id", "key"]).select("doc_id", "key", "n_words")
+    counted = _scanned(keyed, [], window, ["doc_id", "key"], False).select("doc_id", "key", "n_words")
     return counted.join(found, F.col("key") == F.col("of"), "left").select("doc_id", "n_words", "covered", "items", "spans")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_spans: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 512 << 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep_spans: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``.
 
     With ``keep_spans`` also the covered spans of the original text (code points, end exclusive)."""
-    h = _hits(docs, benchmark, window, block_bytes, id_col, text_col, item_col)
+    h = _hits(docs, benchmark, window, block_bytes, id_col, text_col, item_col, keep_spans)
     # intervals in order, counted up to where the ones before have reached
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
 
@@ -191,18 +203,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, bl
     return h.select(*out, *(["spans"] if keep_spans else []))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` (same columns) that hold no window of any item: a narrow pass a block."""
-    for block in blocks(benchmark, block_bytes):
-        docs = _clean(docs, block, window)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, block_bytes: int = 512 << 10) -> DataFrame:
+    """The rows of ``docs`` (same columns) that hold no window of any item.
+
+    One block is a narrow pass; of more, the digests of the texts they hit are put together."""
+    parts = blocks(benchmark, block_bytes)
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return _clean(docs, first, window)
+    key, of = fresh(docs, "key", "of")
+    keyed = docs.select(docs["text"].alias("text"), F.sha2(docs["text"], 256).alias("key"))
+    work, found = Tables(docs.sparkSession, "contaminated"), None
+    for k, block in enumerate(chain([first, second], parts)):
+        made = work.keep(_scanned(keyed, block, window, ["key"], False).filter(F.size("items") > 0).select("key").distinct(), f"block{k}")
+        found = made if found is None else found.union(made)
+    tagged = docs.withColumn(key, F.sha2(docs["text"], 256))
+    return tagged.join(found.distinct().withColumnRenamed("key", of), F.col(key) == F.col(of), "left_anti").drop(key)
 
 
 def _clean(docs: DataFrame, block: list[tuple[str, bytes]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(tuple(block))
+    sent = _sent(docs.sparkSession, block)
 
     def run(batches):
-        w = Windows(list(sent.value), window)
+        w = _windows(sent, window)
         for whole in batches:
             for b in slices(whole, "text"):
                 clean = [not w.scan(words_of(t))[0] for t in text_bytes(b.column(b.schema.get_field_index("text")))]
