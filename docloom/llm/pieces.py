@@ -89,7 +89,7 @@ class Vocabulary:
         self.lengths = {k: tuple(sorted(x, reverse=True)) for k, x in lengths.items()}
         self.fits: dict[int, bool] = {}
 
-    # -- merging by definition: what fits() rests on, and what units of several marks get
+    # -- merging by definition, of two pieces at a time: what fits rests on
     def merge(self, text: str) -> list[str]:
         parts = list(text)
         while len(parts) > 1:
@@ -112,7 +112,7 @@ class Vocabulary:
         return got
 
     def encode_sorted(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of sorted distinct words with at most one mark, depth-first over their trie."""
+        """Ids of sorted distinct words, depth-first over their trie."""
         ids, fits, lengths, fit = self.ids, self.fits, self.lengths, self._fit
         before, last, size, out = "", [-1], [0], []
         for word in words:
@@ -154,27 +154,10 @@ class Vocabulary:
             out.append(tuple(got))
         return out
 
-    def spelled(self, text: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for part in self.merge(text):
-            if part in self.ids:
-                out.append(self.ids[part])
-            else:
-                out.extend(self.bytes[x] for x in part.encode())
-        return tuple(out)
-
     def units(self, wanted: set[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of pre-tokens that aren't in the bounded memo, which takes them up while it has room."""
-        new: dict[bytes, tuple[int, ...]] = {}
-        plain = []
-        for u in wanted:
-            if u.startswith(b"  "):
-                new[u] = self.spelled(u.decode("utf-8", "replace").replace(" ", MARK))
-            else:
-                plain.append((u.decode("utf-8", "replace").replace(" ", MARK), u))
-        plain.sort()
-        for (_, u), got in zip(plain, self.encode_sorted([w for w, _ in plain])):
-            new[u] = got
+        words = sorted((u.decode("utf-8", "replace").replace(" ", MARK), u) for u in wanted)
+        new = dict(zip((u for _, u in words), self.encode_sorted([w for w, _ in words])))
         for u, got in new.items():
             if len(self.done) >= self.limit:
                 break

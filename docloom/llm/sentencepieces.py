@@ -16,7 +16,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, tidy
 
@@ -100,6 +99,3 @@ def round_trip(docs: DataFrame, model: str | None = None, *, id_col: str = "doc_
 
     return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_chars long, n_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean")
 
-
-def token_totals(encoded: DataFrame) -> DataFrame:
-    return encoded.agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))

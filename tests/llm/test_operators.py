@@ -422,6 +422,24 @@ def test_pieces_are_the_library_s(texts):
     assert [sum(library.lengths(pretokens(t))) for t in raw] == [len(x) for x in want]
 
 
+def test_very_long_pretokens():
+    """Runs of spaces and words of a megabyte come through the trie as well."""
+    import time
+
+    import sentencepiece
+
+    from docloom.llm.pieces import Vocabulary
+    from docloom.llm.sentencepieces import default_model
+
+    model, v = sentencepiece.SentencePieceProcessor(model_file=default_model()), Vocabulary(default_model())
+    texts = [" " * n + w for n in range(60) for w in ("", "a", "the", "x1", "é", "中", "  b")]
+    assert v.encode([t.encode() for t in texts]) == model.encode(texts)
+    for t in (" " * 10**6, "a" * 10**6, " " * 10**6 + "end"):
+        start = time.process_time()
+        assert v.encode([t.encode()])[0] == model.encode(t)
+        assert time.process_time() - start < 60
+
+
 def test_round_trip_and_counts(odd, none):
     import sentencepiece
 
@@ -584,6 +602,14 @@ def test_decontamination_against_brute_force(odd, benchmark, block_bytes):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 6
 
 
+def test_dropping_over_several_blocks(spark, odd, benchmark):
+    from docloom.llm.decontamination import drop_contaminated
+
+    one, several = (drop_contaminated(odd.withColumn("of", F.lit(3)), benchmark, block_bytes=n) for n in (1 << 20, 40))
+    assert several.columns == one.columns
+    assert sorted(map(str, several.collect())) == sorted(map(str, one.collect())) and 0 < one.count() < odd.count()
+
+
 def test_decontamination_spans_and_empty_tables(spark, odd, none, benchmark):
     from docloom.llm.decontamination import decontaminate
 
@@ -782,6 +808,69 @@ def test_crf_held_out_lines_and_exact_decoding():
     assert tuple(crf.viterbi(c, np.array([4]))[0].tolist()) == max(paths, key=paths.get)
 
 
+def test_base_patterns_of_odd_strings_against_brute_force():
+    from docloom.llm.pii import base_spans
+
+    rng = random.Random(18)
+    for signs in ("aa1_%@@..- +é", "0129..  ", "a@b.c_d%+1 "):
+        for _ in range(3000):
+            t = "".join(rng.choice(signs) for _ in range(rng.randrange(1, 30)))
+            assert [(s, k, e) for s, e, k in base_spans(t)] == brute_base(t), t
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "@", "1" * 10**6, "1." * 500_000, "@a" * 500_000, "a@b" * 300_000, "+1" + " " * 10**6], ids=["letters", "digits", "parts", "ats", "addresses", "spaces"])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    from docloom.llm.pii import Finder, default_crf, find
+
+    f = Finder(default_crf())
+    start = time.process_time()
+    find(f, [text.encode()])
+    assert time.process_time() - start < 5
+
+
+def test_precision_and_recall_of_added_spans():
+    """Planted spans that the base patterns miss, among numbers that are no personal data."""
+    from docloom.llm.pii import Finder, default_crf, find, luhn
+
+    rng = random.Random(31)
+
+    def card(valid):
+        while True:
+            d = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(d) == valid:
+                return d
+
+    fours = lambda d, by: by.join(d[i : i + 4] for i in (0, 4, 8, 12))
+    word = lambda: "".join(rng.choice("aeiorstnlh") for _ in range(rng.randrange(3, 8)))
+    texts, want = [], []
+    for k in range(400):
+        planted = [fours(card(True), "."), fours(card(True), "/"), f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}", f"{word()} at mail dot example dot com", None, None][k % 6]
+        noise = [fours(card(False), rng.choice("./-")), card(False), fours(card(False), " "), "2024-05-01", "3.14", f"id{rng.randrange(10**6)}x"][rng.randrange(6)]
+        a, b = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(5))
+        text = f"{noise} {a} {planted} {b}" if planted else f"{a} {noise} {b}"
+        texts.append(text)
+        want.append((text.index(planted), text.index(planted) + len(planted)) if planted else None)
+    added = [[(s, e) for s, e, k in every if (s, e, k) not in base] for base, every in find(Finder(default_crf()), [t.encode() for t in texts])]
+    right = sum(w in got for got, w in zip(added, want) if w)
+    assert right >= 0.95 * sum(w is not None for w in want)
+    assert right >= 0.95 * sum(map(len, added))
+
+
+def test_added_spans_of_the_table_are_valid(spark, sf_dir):
+    from docloom.llm.pii import base_spans, find_pii, plausible
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kinds = ["email", "ip", "card", "phone"]
+    for r in find_pii(docs).join(docs, "doc_id").collect():
+        base = {f"{kinds[k]}:{s}:{e}" for s, e, k in base_spans(r.text or "")}
+        spans = set(r.spans.split(",")) - {""}
+        assert base <= spans
+        for kind, s, e in (x.split(":") for x in spans - base):
+            assert plausible(r.text[int(s) : int(e)], kinds.index(kind))
+
+
 def test_pii_on_odd_rows(spark, odd, none):
     from docloom.llm.pii import find_pii, redact
 
