@@ -5,7 +5,8 @@ terms of a document.  The pairwise part learns interactions that additive weight
 an insult with a group mention: two terms that are harmless alone push the score only together.
 
 Terms are the lower-case words and, since insults are inflected, the first four to six letters of
-longer words.  Only ``n_terms`` informative terms (by labelled document frequency) keep weights,
+longer words; a term that a document holds more than once gives a second term, since a stem that
+clean texts have by chance is telling when it comes again.  Only ``n_terms`` informative terms (by labelled document frequency) keep weights,
 so long documents do not add up noise.  Training is on the driver over at most ``max_rows``
 labelled rows, of which only hashed term ids are collected; scoring is one narrow Arrow pass with
 a broadcast model whose size is fixed by ``n_terms`` and ``rank``.
@@ -19,16 +20,17 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, slices, text_bytes, tidy
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -36,14 +38,18 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 class FMParams:
     #: Most labelled rows that are fitted (a documented bound; chosen by a hash of the id).
     max_rows: int = 8_192
+    #: Most bytes of their term ids that the driver takes.
+    max_bytes: int = 64 << 20
     #: Hash space of the terms.
     bits: int = 23
     #: Most terms with weights, and how many keep them even if chance could explain them.
     n_terms: int = 4_096
     least_terms: int = 16
     rank: int = 4
-    epochs: int = 60
-    rate: float = 0.05
+    epochs: int = 200
+    rate: float = 0.1
+    #: Share of a document's terms that an epoch sees.
+    keep: float = 0.8
     l2: float = 1e-4
     threshold: float = 0.7
     seed: int = 7
@@ -89,35 +95,40 @@ def _margin(w0, w, v, ids, row, n):
 
 
 class Terms(dict):
-    """Hashed terms of a lower-case word (a bounded memo)."""
+    """Hashed terms of a lower-case word (a bounded memo).
+
+    Terms from ``1 << bits`` on stand for those below that a document holds at least twice."""
 
     def __init__(self, bits: int, keep: np.ndarray | None = None, limit: int = 120_000):
-        self.mask, self.limit = (1 << bits) - 1, limit
+        self.size, self.limit = 1 << bits, limit
         self.keep = None if keep is None else {int(k): i for i, k in enumerate(keep)}
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         text = word.decode("utf-8", "ignore")
         names = ["=" + text, *("^" + text[:n] for n in (4, 5, 6) if len(text) > n)]
-        got = tuple(zlib.crc32(x.encode()) & self.mask for x in names)
+        got = tuple(zlib.crc32(x.encode()) & (self.size - 1) for x in names)
         if self.keep is not None:
-            got = tuple(self.keep[x] for x in got if x in self.keep)
+            got = tuple(x for x in got if x in self.keep or x + self.size in self.keep)
         if len(self) < self.limit:
             self[word] = got
         return got
 
     def of(self, text: bytes) -> np.ndarray:
-        words = set(_WORD.findall(text.translate(_LOWER)))
-        found = set()
-        for t in map(self.__getitem__, words):
-            if t:
-                found.update(t)
+        count: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall(text.decode("utf-8", "ignore").lower().encode())).items():
+            for t in self[word]:
+                count[t] = count.get(t, 0) + n
+        found = [*count, *(t + self.size for t, n in count.items() if n > 1)]
+        if self.keep is not None:
+            found = [self.keep[t] for t in found if t in self.keep]
         return np.array(sorted(found), np.int64)
 
 
 def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> FMModel:
     """Fit on (id, text, label) rows: the ``params.max_rows`` of them with the least id hashes.
 
-    Only sorted 4-byte term ids travel to the driver, not texts."""
+    Only sorted 4-byte term ids travel to the driver, not texts, and of the rows as many as
+    ``params.max_bytes`` hold."""
     rows = pick(labelled, i=id_col, t=text_col, y=label_col).filter("y is not null").withColumn("h", F.xxhash64("i"))
     bits = params.bits
 
@@ -130,7 +141,18 @@ def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "do
                 ["h", "y", "terms"],
             )
 
-    got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(tidy(hashed), "h long, y int, terms binary").orderBy("h", "y", "terms").limit(params.max_rows).collect()
+    def bounded(batches):  # one task has the rows in order
+        room = params.max_bytes
+        for b in batches:
+            sizes = np.cumsum(np.asarray(pc.binary_length(b.column(2))).astype(np.int64))
+            n = int(np.searchsorted(sizes, room, "right"))
+            yield b.slice(0, n)
+            if n < b.num_rows:
+                return
+            room -= int(sizes[-1]) if n else 0
+
+    schema = "h long, y int, terms binary"
+    got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(tidy(hashed), schema).orderBy("h", "y", "terms").limit(params.max_rows).mapInArrow(bounded, schema).collect()
     return train([np.frombuffer(r.terms, "<i4") for r in got], np.array([float(r.y > 0) for r in got]), params)
 
 
@@ -142,7 +164,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     pos, neg = y.sum(), len(y) - y.sum()
     # informative terms: likelihood ratio (G squared) of term presence against the label, beyond
     # what the strongest of so many unrelated terms would reach by chance
-    counts = np.zeros((2, 1 << params.bits), np.int32)
+    counts = np.zeros((2, 2 << params.bits), np.int32)
     for d, label in zip(docs, y):
         counts[int(label), d] += 1  # a document holds a term once
     seen = np.flatnonzero(counts.sum(0) >= 2)
@@ -152,7 +174,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     best = best[(worth[best] > 0) & ((worth[best] >= chance) | (np.arange(len(best)) < params.least_terms))]
     terms = np.sort(seen[best])
     del counts, worth
-    known = np.zeros(1 << params.bits, bool)
+    known = np.zeros(2 << params.bits, bool)
     known[terms] = True
     kept = [d[known[d]] for d in docs]
     row = np.repeat(np.arange(len(docs)), [len(d) for d in kept])
@@ -160,7 +182,10 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     rng = np.random.default_rng(params.seed)
     w0, w, v = math.log(pos / neg), np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), params.rank))
     g0, gw, gv = 1e-8, np.full(len(terms), 1e-8), np.full(v.shape, 1e-8)
+    every = ids, row
     for _ in range(params.epochs):
+        # part of each document's terms, so that one insult alone has to tell as well
+        ids, row = (x[kept] for kept in [rng.random(len(every[0])) < params.keep] for x in every)
         sums = np.stack([np.bincount(row, v[ids, f], len(y)) for f in range(params.rank)], 1)
         r = (_sigmoid(_margin(w0, w, v, ids, row, len(y))) - y) / len(y)
         d0, dw = r.sum(), np.bincount(ids, r[row], len(terms)) + params.l2 * w / len(y)
@@ -201,9 +226,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, params: FMParams = FMParam
     """Training rows: documents with a label whose crc32(id as text) mod 3 is not 1.
 
     Of those, the ``params.max_rows`` ids with the least hashes: that many rows of 16 bytes are
-    broadcast, so that no text is shuffled.  A document labelled twice has its largest label."""
+    broadcast, so that no text is shuffled.  Labels of absent documents don't count.  A document
+    labelled twice has its largest label."""
     y = pick(labels, i=id_col, y=label_col).filter("i is not null and y is not null")
     y = y.filter(F.pmod(F.crc32(F.col("i").cast("string").cast("binary")), F.lit(3)) != 1).groupBy("i").agg(F.max("y").alias("label"))
+    y = y.join(pick(docs, there=id_col), F.col("i") == F.col("there"), "left_semi")
     # far fewer than all labels reach the driver: those whose hash could be among the least
     share = min(1.0, 1.2 * params.max_rows / max(1, y.count()))
     y = y.filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(share * (1 << 20)))

@@ -757,6 +757,33 @@ def test_toxicity_held_out_accuracy(spark, sf_dir):
     assert not any(r.predicted and not r.toxic for r in rows)
 
 
+def test_toxicity_held_out_recall_and_precision(spark):
+    """On the bigger table, whose held-out third has 144 toxic documents, some without any sign."""
+    import os
+
+    from docloom.llm.toxicity import toxicity
+
+    big = "/root/testdata/sf0.1"
+    if not os.path.isdir(big):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity(docs, labels).filter("held_out").join(labels.dropDuplicates(["doc_id"]), "doc_id").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.9 * sum(r.toxic for r in rows)
+    assert hit >= 0.9 * sum(r.predicted for r in rows)
+
+
+def test_labels_of_absent_documents_take_no_room(spark):
+    from docloom.llm.toxicity import FMParams, fit, labelled_rows
+
+    docs = spark.createDataFrame([(k, "vile words" if k % 2 else "kind words") for k in range(300)], "doc_id long, text string").withColumn("there", F.lit(1))
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = labelled_rows(docs, labels, FMParams(max_rows=100))
+    assert rows.count() == 100
+    whole, half = (fit(rows, FMParams(max_bytes=n)) for n in (1 << 20, 0))
+    assert len(whole.terms) and not len(half.terms)  # the bound in bytes holds
+
+
 # ----------------------------------------------------------------------------------- 10 pii
 
 
