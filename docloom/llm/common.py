@@ -136,12 +136,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def span_hashes(raw: np.ndarray, a: np.ndarray, z: np.ndarray, part: int = 1 << 19) -> np.ndarray:
+    """Hashes of the bytes raw[a:z] of each of the spans (in order, apart), about ``part`` bytes at a time.
+
+    A polynomial over random values of the bytes, got from prefix sums and mixed with the length."""
+    out, k = np.empty(len(a), np.uint64), 0
+    while k < len(a):
+        m = max(k + 1, int(np.searchsorted(a, a[k] + part)))
+        lo, hi = int(a[k]), int(z[m - 1])
+        power, inverse = _powers_to(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_TABLE[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
+        out[k:m] = (sums[z[k:m] - lo] - sums[a[k:m] - lo]) * inverse[a[k:m] - lo]
+        k = m
+    return mix64(out + (z - a).astype(np.uint64) * _GOLD)
+
+
 def cut_words(column: pa.Array, part: int = 1 << 19, lower: bool = False):
     """(hashes, words of each value, starts, ends, bytes) of the words of a string column.
 
-    Taken straight from the column's buffers: a word's hash is a polynomial over random values of
-    its bytes, got from prefix sums over about ``part`` bytes at a time and mixed with its length,
-    so no word becomes a Python object.  ``lower`` takes A-Z for a-z."""
+    Taken straight from the column's buffers, so no word becomes a Python object.  ``lower`` takes
+    A-Z for a-z."""
     none = np.zeros(0, np.int64)
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -168,17 +183,8 @@ def cut_words(column: pa.Array, part: int = 1 << 19, lower: bool = False):
     starts[first] = inside[first]
     ends[last] = inside[last]
     a, z = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    out, k = np.empty(len(a), np.uint64), 0
-    while k < len(a):
-        m = max(k + 1, int(np.searchsorted(a, a[k] + part)))
-        lo, hi = int(a[k]), int(z[m - 1])
-        power, inverse = _powers_to(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_TABLE[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
-        out[k:m] = (sums[z[k:m] - lo] - sums[a[k:m] - lo]) * inverse[a[k:m] - lo]
-        k = m
     counts = np.diff(np.searchsorted(a, edges))
-    return mix64(out + (z - a).astype(np.uint64) * _GOLD), counts, a, z, raw
+    return span_hashes(raw, a, z, part), counts, a, z, raw
 
 
 def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -465,6 +465,33 @@ def test_length_table():
     assert all(t.get(u) == k for k, u in enumerate(units)) and t.get(b" nothing") is None and dict(t.items()) == {u: k for k, u in enumerate(units)}
 
 
+def test_cut_pretokens_and_counts(texts):
+    from docloom.llm.pieces import Library, pretokens
+    from docloom.llm.sentencepieces import default_model
+    from docloom.llm.token_counts import Counter as TokenCounter
+    from docloom.llm.token_counts import LengthTable, cut, hashes_of
+
+    raw = [t.encode() for t in texts]
+    h, n, a, z, data = cut(raw)
+    want = [pretokens(t) for t in raw]
+    assert n.tolist() == [len(x) for x in want]
+    assert [data[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist())] == [u for x in want for u in x]
+    assert (h == hashes_of([u for x in want for u in x])).all()
+    library = Library(default_model())
+    units = sorted({u for x in want[: len(want) // 2] for u in x if len(u) < 20})[::3]
+    counter = TokenCounter(LengthTable(units, library.lengths(units)), library, 50)
+    for part in (raw[:200], raw[100:], []):
+        assert counter.counts(part).tolist() == [sum(library.lengths(pretokens(t))) for t in part]
+
+
+def test_frequent_pretokens_of_many_tasks(spark):
+    from docloom.llm.token_counts import frequent
+
+    rows = [(k, " ".join(["often"] * 5 + ["also"] * 3 + [f"rare{k}"] * 2)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    assert frequent(docs, 2, 100) == [b" often", b" also"]
+
+
 def test_word_encoder_is_the_library(texts):
     pytest.importorskip("tokenizers")
     from docloom.llm.token_files import WordEncoder, default_tokenizer
