@@ -375,6 +375,96 @@ def test_single_template_texts_and_side_lists(spark, html):
     assert {r.page_id: r.text for r in got} == {k: "\n".join(body(k)) for k in range(40)}
 
 
+def without_names(html):
+    """A page with sectioning elements as plain ones and without classes, ids and roles."""
+    html = re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", lambda m: f"<{m[1]}div>", html or "")
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*')", "", html)
+
+
+def test_template_alone_finds_the_text_of_the_table_s_pages(spark):
+    """Without any telling name the templates have to do what names do: the same text, page by page."""
+    import os
+
+    from docloom.llm.wrappers import extract, main_text
+
+    small = "/root/testdata/sf0.01"
+    if not os.path.isdir(small):
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    rows = pages.collect()
+    bare = spark.createDataFrame([(r.page_id, r.url, without_names(r.html)) for r in rows], "page_id long, url string, html string").repartition(5)
+    named, got = ({r.page_id: r.text for r in extract(x).collect()} for x in (pages, bare))
+    alone = {r.page_id: main_text(without_names(r.html), None) for r in rows}
+    assert sum(named[i] == got[i] for i in named) >= 0.9 * len(named)
+    assert sum(alone[i] != got[i] for i in named) >= 0.9 * len(named)  # what the templates change
+    assert all(named[r.page_id] == main_text(r.html, None) for r in rows)  # and names and templates agree
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div>" * 100_000 + "deep" + "</div>" * 100_000 + "<p>after</p>", "deep\nafter"),
+        ("<a " * 350_000, None),
+        ("<p>x" + "<a '>' " * 150_000, None),
+        ("<!" * 500_000, None),
+        ("<b>" * 100_000 + "x" + "</i></section>" * 50_000, "x"),
+        ("<p>" * 100_000 + "y", "y"),
+        ("w" * 1_000_000, "w" * 1_000_000),
+    ],
+    ids=["deep", "unclosed tags", "quotes", "declarations", "inline", "paragraphs", "word"],
+)
+def test_pages_without_measure_take_linear_time(html, text):
+    import time
+
+    from docloom.llm.wrappers import fold, main_text, page_slot
+
+    start = time.process_time()
+    got = main_text(html, fold(page_slot(html), page_slot(html + "<p>z")))
+    assert text is None or main_text(html, None) == text
+    assert got is not None and time.process_time() - start < 60
+
+
+def test_matching_against_all_matchings():
+    """The dynamic programme against every order-preserving matching of small trees, and deep trees in time."""
+    from itertools import combinations
+
+    from docloom.llm.wrappers import Slot, fold, matching
+
+    def brute(a, b):
+        if a.label != b.label:
+            return 0
+        best = 0
+        for k in range(min(len(a.children), len(b.children)) + 1):
+            for xs in combinations(a.children, k):
+                for ys in combinations(b.children, k):
+                    got = [brute(x, y) for x, y in zip(xs, ys)]
+                    best = max(best, sum(got) if all(got) else 0)
+        return 1 + best
+
+    rng = random.Random(6)
+
+    def tree(depth):
+        return Slot(rng.choice("pq"), 1, 1, 0, (), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+
+    for _ in range(200):
+        a, b = tree(3), tree(3)
+        assert matching(a, b) == brute(a, b)
+
+    def chain(depth, more):
+        return Slot("d", 1, 1, 0, (), [Slot("s"), *([Slot("u")] if more else []), Slot("p"), *([chain(depth - 1, more)] if depth else [])])
+
+    assert fold(chain(150, False), chain(150, True)).pages == 2
+
+
+def test_many_children_keep_the_frequent_ones():
+    from docloom.llm.wrappers import Slot, fold
+
+    a = Slot("d", 1, 1, 0, (), [Slot("always", 1)])
+    for k in range(40):
+        fold(a, Slot("d", 1, 1, 0, (), [Slot(f"once{k}", 1), Slot("always", 1)]), room=8)
+    assert len(a.children) == 8 and max(a.children, key=lambda c: c.pages).label == "always"
+
+
 def test_extraction_on_odd_pages(spark):
     from docloom.llm.wrappers import extract
 
