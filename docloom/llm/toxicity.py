@@ -164,19 +164,25 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     pos, neg = y.sum(), len(y) - y.sum()
     # informative terms: likelihood ratio (G squared) of term presence against the label, beyond
     # what the strongest of so many unrelated terms would reach by chance
-    counts = np.zeros((2, 2 << params.bits), np.int32)
-    for d, label in zip(docs, y):
-        counts[int(label), d] += 1  # a document holds a term once
-    seen = np.flatnonzero(counts.sum(0) >= 2)
-    worth = _g2(counts[1, seen].astype(float), pos, counts[0, seen].astype(float), neg)
+    def held(of):  # a document holds a term once
+        return np.unique(np.concatenate([np.zeros(0, np.int32), *of]), return_counts=True)
+
+    found, n = held(docs)
+    some, k = held([d for d, label in zip(docs, y) if label])
+    toxic = np.zeros(len(found), np.int64)
+    toxic[np.searchsorted(found, some)] = k
+    chance = 2 * math.log(max(2, len(found)))
+    found, n, toxic = (x[n >= 2] for x in (found, n, toxic))
+    worth = _g2(toxic.astype(float), pos, (n - toxic).astype(float), neg)
     best = np.argsort(-worth, kind="stable")[: params.n_terms]
-    chance = 2 * math.log(max(2, np.count_nonzero(counts.any(0))))
     best = best[(worth[best] > 0) & ((worth[best] >= chance) | (np.arange(len(best)) < params.least_terms))]
-    terms = np.sort(seen[best])
-    del counts, worth
-    known = np.zeros(2 << params.bits, bool)
-    known[terms] = True
-    kept = [d[known[d]] for d in docs]
+    terms = np.sort(found[best]).astype(np.int64)
+    del found, n, some, k, toxic, worth
+    kept = []
+    for d in docs:
+        at = np.searchsorted(terms, d)
+        at[at == len(terms)] = 0
+        kept.append(d[terms[at] == d] if len(terms) else d[:0])
     row = np.repeat(np.arange(len(docs)), [len(d) for d in kept])
     ids = np.searchsorted(terms, np.concatenate(kept))
     rng = np.random.default_rng(params.seed)
