@@ -142,7 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_first": f"""SELECT l_orderkey AS doc_id, l_returnflag AS flag, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE -1 END AS number, {_ITEM} AS items, l_linestatus AS status, l_linenumber > 2 AS late FROM ({_LINES}) WHERE k = 1""",
         "merge_dedupe_first": _deduped("head"),
         "merge_dedupe_last": _deduped("last"),
-        "merge_markdown": f"SELECT c.doc_id, coalesce(m.result, '') AS result FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(text, {_SEP} ORDER BY turn) AS result FROM conversations WHERE role <> 'system' GROUP BY 1) m ON c.doc_id = m.conv_id",
+        "merge_markdown": f"SELECT c.doc_id, coalesce(m.result, '') AS result FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) c LEFT JOIN (SELECT conv_id, string_agg(text, {_SEP} ORDER BY turn) AS result FROM conversations GROUP BY 1) m ON c.doc_id = m.conv_id",
         "merge_custom": "SELECT conv_id AS doc_id, first(text ORDER BY length(text) DESC, text DESC) AS result FROM conversations GROUP BY 1",
         "chain_markdown": f"""SELECT d.doc_id, coalesce(m.result, '') AS result FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN
   (SELECT doc_id, string_agg(split_part(w, {_NL}, 1) || '/' || length(w), {_SEP} ORDER BY k) AS result FROM (SELECT doc_id, k, substring(text, k * 800 + 1, 1000) AS w FROM ({_WINDOWS})) GROUP BY 1) m ON d.doc_id = m.doc_id""",
@@ -150,7 +150,10 @@ def oracle_sql() -> dict[str, str]:
         + """, g AS (SELECT doc_id, c, arg_min(split_part(line, ' | ', 2), i) AS s, string_agg(split_part(line, ' ', 2), ',' ORDER BY i) AS keys FROM r GROUP BY 1, 2)
 SELECT o.doc_id, coalesce(m.lines, '') AS lines FROM (SELECT DISTINCT o_custkey AS doc_id FROM orders) o LEFT JOIN
   (SELECT doc_id, string_agg(keys, ',' ORDER BY c) AS lines FROM g WHERE s IN ('O', 'F') GROUP BY 1) m ON o.doc_id = m.doc_id""",
-        "events": f"""WITH t AS (SELECT conv_id AS doc_id, max(text) AS text FROM conversations GROUP BY 1), f AS (SELECT *, split_part(text, {_NL}, 1) || '/' || length(text) AS found FROM t)
-SELECT doc_id, 0::BIGINT AS seq, 'normalizing' AS phase, false AS done, text AS content FROM t UNION ALL SELECT doc_id, 1, 'chunking', false, text FROM t
-UNION ALL SELECT doc_id, 2, 'extracting', true, found FROM f UNION ALL SELECT doc_id, 3, 'merging', true, found FROM f""",
+        "events": f"""WITH t AS (SELECT conv_id AS doc_id, string_agg(text, {_NL} ORDER BY turn) AS text FROM conversations GROUP BY 1),
+c AS (SELECT doc_id, text, CASE WHEN length(text) <= 200 THEN 1 ELSE CAST(ceil((length(text) - 50) / 150.0) AS BIGINT) END AS n FROM t),
+w AS (SELECT doc_id, n, k, substring(text, k * 150 + 1, 200) AS w FROM (SELECT *, unnest(range(n)) AS k FROM c)),
+f AS (SELECT *, split_part(w, {_NL}, 1) || '/' || length(w) AS found FROM w)
+SELECT doc_id, 0::BIGINT AS seq, 'normalizing' AS phase, false AS done, text AS content FROM t UNION ALL SELECT doc_id, 1 + k, 'chunking', false, w FROM w
+UNION ALL SELECT doc_id, 1 + n + k, 'extracting', true, found FROM f UNION ALL SELECT doc_id, 1 + 2 * n, 'merging', true, string_agg(found, {_SEP} ORDER BY k) FROM f GROUP BY doc_id, n""",
     }

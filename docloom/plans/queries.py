@@ -416,9 +416,9 @@ def merge_dedupe_last(spark, sf_dir):
 
 
 def merge_markdown(spark, sf_dir):
-    """Texts of turns, joined; conversations without turns are there with null."""
+    """Texts of all turns, joined."""
     t = _table(spark, sf_dir, "conversations")
-    rows = t.filter("role <> 'system'").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("index"), F.col("text").alias("data"))
+    rows = t.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("index"), F.col("text").alias("data"))
     return merge(rows, docs=t.select(F.col("conv_id").alias("doc_id"))).select("doc_id", F.coalesce("result", F.lit("")).alias("result"))
 
 
@@ -455,9 +455,12 @@ def chain_orders(spark, sf_dir):
 
 
 def events(spark, sf_dir):
-    """The course of a chain as one table of events."""
-    docs = from_text(_table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.max("text").alias("text")))
-    chain = Extracted(ExtractConfig("markdown", "Convert.", model=NativeModel(_first_line)), Normalized(NormalizeConfig(type="text"))).merge()
+    """The course of a chain as one table of events: conversations, all turns in order, in several chunks."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    docs = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns["text"], "\n").alias("text"))
+    config = ExtractConfig("markdown", "Convert.", model=NativeModel(_first_line))
+    chain = Normalized(NormalizeConfig(type="text")).chunk(ChunkConfig("sliding", max_chars=200, overlap=50)).extract(config).merge()
+    docs = from_text(docs)
     return chain.events(docs).select("doc_id", F.col("seq").cast("long").alias("seq"), "phase", F.coalesce("done", F.lit(False)).alias("done"), F.coalesce("text", "value").alias("content"))
 
 
