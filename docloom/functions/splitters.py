@@ -9,15 +9,16 @@ whatever its chunks.
 from __future__ import annotations
 
 import re
+import string
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import cache
+
+import numpy as np
 
 #: White space (the ECMAScript set).
 SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
-# Fixed value: letters, digits, or a run of one other sign; word characters are ASCII.
-TOKEN = re.compile(f"[A-Za-z]+|[0-9]+|([^A-Za-z0-9{SPACES}])\\1*")
-
 # Scripts written without spaces, which select tokens by grapheme.
 UNSPACED = re.compile(
     "[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff\u3000-\u303f\u3040-\u309f\u30a0-\u30ff\u31f0-\u31ff\uac00-\ud7af"  # Han, kana, Hangul
@@ -28,10 +29,12 @@ UNSPACED = re.compile(
 ABBREVIATIONS = frozenset("Mr. Mrs. Ms. Dr. Prof. St. Jr. Sr. Inc. Ltd. Corp. vs. etc. approx. dept. est. govt. apt. Ave. Blvd.".split())
 
 # Signs that end a sentence, and signs that may close it.
-STOP = re.compile("[.?!\u3002\uff01\uff1f\u0964][\"'\u00bb)\\]}]*$")
-CLOSERS = re.compile("[\"'\u00bb)\\]}]+$")
+_STOPPING = ".?!\u3002\uff01\uff1f\u0964"
+_CLOSING = "\"'\u00bb)\\]}"
+CLOSERS = re.compile("[\"'\u00bb)\\]}]+")
 
-_BREAK = re.compile("[\n\r]")
+_STOPS = re.compile(f"[{_STOPPING}]")
+_BREAK = re.compile("[\n\r]+")
 
 
 @dataclass
@@ -88,29 +91,48 @@ def _graphemes(text: str):
         yield at, len(text)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Code point -> 0 white space, 1 letter, 2 digit, a number of its own for any other sign."""
+    out = np.arange(3, 3 + 0x110000, dtype=np.uint32)
+    for kind, signs in enumerate((SPACES, string.ascii_letters, string.digits)):
+        out[[ord(c) for c in signs]] = kind
+    return out
+
+
+def _runs(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of tokens: ASCII letters, ASCII digits, or a run of one other sign."""
+    kind = _kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not len(kind):
+        return [], []
+    first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+    end = np.append(first[1:], len(kind))
+    shown = kind[first] != 0
+    return first[shown].tolist(), end[shown].tolist()
+
+
 def tokenize(text: str) -> Tokens:
-    out = Tokens(text)
-    spans = _graphemes(text) if UNSPACED.search(text[:200]) else (m.span() for m in TOKEN.finditer(text))
-    before = 0
-    for i, (a, b) in enumerate(spans):
-        out.starts.append(a)
-        out.ends.append(b)
-        if a > before and _BREAK.search(text, before, a):
-            out.fresh.append(i)
-        before = b
-    fresh = set(out.fresh)
-    for i in range(len(out)):
+    if UNSPACED.search(text[:200]):
+        spans = list(_graphemes(text))
+        starts, ends = [a for a, _ in spans], [b for _, b in spans]
+    else:
+        starts, ends = _runs(text)
+    out, n = Tokens(text, starts, ends), len(starts)
+    # white space lies between tokens, and a token's last sign decides whether it ends a sentence
+    out.fresh = [i for i in sorted({bisect_left(starts, m.start()) for m in _BREAK.finditer(text)}) if i < n]
+    for m in _STOPS.finditer(text):
+        i = bisect_left(ends, m.end())
+        if i == n or ends[i] != m.end():
+            continue
         word = out.word(i)
-        if STOP.search(word):
-            if not (word in ABBREVIATIONS or i and out.word(i - 1) + word in ABBREVIATIONS):
-                out.stops.append(i)
-        elif i in fresh and not "a" <= word[0] <= "z":
-            out.opens.append(i)
-    for i in out.stops:
+        if word in ABBREVIATIONS or i and out.word(i - 1) + word in ABBREVIATIONS:
+            continue
+        out.stops.append(i)
         j = i + 1
-        while j < len(out) and CLOSERS.fullmatch(out.word(j)):
+        while j < n and text[starts[j]] in _CLOSING and CLOSERS.fullmatch(text, starts[j], ends[j]):
             j += 1
         out.after.append(j)
+    out.opens = [i for i in out.fresh if not "a" <= text[starts[i]] <= "z" and text[ends[i] - 1] not in _STOPPING]
     return out
 
 

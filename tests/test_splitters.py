@@ -30,8 +30,12 @@ def test_long_sentences_are_cut_at_lines_else_at_tokens_and_tokens_stay_whole():
     assert sentences("   ", 3) == []
 
 
+STOP = re.compile("[.?!\u3002\uff01\uff1f\u0964][\"'\u00bb)\\]}]*$")
+CLOSERS = re.compile("[\"'\u00bb)\\]}]+$")
+
+
 def slow_end(t, first):
-    from docloom.functions.splitters import ABBREVIATIONS, CLOSERS, STOP
+    from docloom.functions.splitters import ABBREVIATIONS
 
     for i in range(first, len(t)):
         w = t.word(i)
