@@ -117,10 +117,11 @@ def chunk(blocks: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
         routed = blocks.withColumn("strategy", F.lit(config.strategy))
     else:  # anything else is auto
         routed = auto_strategy(blocks)
+    cut = F.col("strategy").isin(*_SPLIT)
+    # blocks are read once: the splitters get no text of those that stay whole
     whole = F.array(F.struct(F.col("text").alias("text"), F.lit(0).alias("off")))
-    split = routed.filter(F.col("strategy").isin(*_SPLIT)).withColumn("pieces", _pieces(config.max_chars)("strategy", "text"))
-    if config.strategy not in _SPLIT:
-        split = split.unionByName(routed.filter(~F.col("strategy").isin(*_SPLIT)).withColumn("pieces", whole))
+    pieces = F.when(cut, _pieces(config.max_chars)("strategy", F.when(cut, F.col("text")))).otherwise(whole)
+    split = routed.withColumn("pieces", pieces)
     made = split.select("doc_id", "block_index", "source", "strategy", F.posexplode("pieces").alias("pos", "p"))
     made = made.select("doc_id", "block_index", "pos", "p.text", F.col("p.off").alias("char_offset"), "source", "strategy")
     if config.strategy in _SPLIT:

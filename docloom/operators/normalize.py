@@ -1,15 +1,13 @@
 """Normalisation: documents to blocks of text.
 
 Text and markdown are projections.  All other formats need a parser: they go through one Arrow
-pass, which is routed by the format column and reads nothing of the documents that don't need it.
+function, which gets nothing of the documents that don't need it.  Either way documents are read once.
 Scanned PDFs and images go to the OCR backend in that pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +19,6 @@ from .detect import detect
 #: Embedded text of a PDF counts if it is longer than this.
 LEAST_PDF_TEXT = 50
 PLAIN = ("text", "markdown")
-_OUT = f"doc_id long, block_index int, text string, is_visual boolean, source {SOURCE}, error {ERROR}"
 
 
 def _as_text(content: bytes | None, text: str | None) -> str:
@@ -63,30 +60,52 @@ def parse_one(format: str, content: bytes | None, text: str | None, filename: st
     raise NormalizeError(f"unsupported format {format}", str(format))
 
 
-def _parsed(docs: DataFrame, config: NormalizeConfig) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d in frame.itertuples(index=False):
-                source = {"format": d.format, "page": None, "sheet": None, "filename": d.filename}
-                content = bytes(d.content) if d.content is not None else None
-                try:
-                    for k, (text, sheet, visual) in enumerate(parse_one(d.format, content, d.text, d.filename, d.mime_type, config)):
-                        rows.append((d.doc_id, k, text, visual, source | {"sheet": sheet}, None))
-                except Exception as e:
-                    if config.on_error == "throw":
-                        raise e if isinstance(e, NormalizeError) else NormalizeError(f"document {d.doc_id}: {e}", d.format) from e
-                    rows.append((d.doc_id, 0, None, False, source, {"class": type(e).__name__, "message": str(e), "phase": "normalize", "format": d.format}))
-            yield pd.DataFrame(rows, columns=["doc_id", "block_index", "text", "is_visual", "source", "error"]).astype({"doc_id": "int64", "block_index": "int32"})
+_BLOCKS = f"array<struct<block_index:int,text:string,is_visual:boolean,source:{SOURCE},error:{ERROR}>>"
+
+
+def _arrow_blocks() -> pa.DataType:
+    def texts(*names):
+        return pa.struct([(n, pa.string()) for n in names])
+
+    source = pa.struct([("format", pa.string()), ("page", pa.int32()), ("sheet", pa.string()), ("filename", pa.string())])
+    return pa.list_(pa.struct([("block_index", pa.int32()), ("text", pa.string()), ("is_visual", pa.bool_()), ("source", source), ("error", texts("class", "message", "phase", "format"))]))
+
 
-    return docs.select("doc_id", "format", "content", "text", "filename", "mime_type").mapInPandas(run, _OUT)
+def _parser(config: NormalizeConfig):
+    """(doc_id, format, content, text, filename, mime type) -> blocks; nothing where the format is plain.
+
+    Spark cuts its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so that large
+    documents come few at a time."""
+
+    @F.arrow_udf(_BLOCKS)
+    def run(doc_id: pa.Array, format: pa.Array, content: pa.Array, text: pa.Array, filename: pa.Array, mime: pa.Array) -> pa.Array:
+        out = []
+        for d, f, c, t, n, m in zip(doc_id, format, content, text, filename, mime):
+            f = f.as_py()
+            if f in PLAIN:
+                out.append(None)
+                continue
+            n = n.as_py()
+            source = {"format": f, "page": None, "sheet": None, "filename": n}
+            try:
+                found = parse_one(f, c.as_py(), t.as_py(), n, m.as_py(), config)
+                out.append([{"block_index": k, "text": x, "is_visual": visual, "source": source | {"sheet": sheet}, "error": None} for k, (x, sheet, visual) in enumerate(found)])
+            except Exception as e:
+                if config.on_error == "throw":
+                    raise e if isinstance(e, NormalizeError) else NormalizeError(f"document {d.as_py()}: {e}", f) from e
+                error = {"class": type(e).__name__, "message": str(e), "phase": "normalize", "format": f}
+                out.append([{"block_index": 0, "text": None, "is_visual": False, "source": source, "error": error}])
+        return pa.array(out, _arrow_blocks())
+
+    return run
 
 
 def normalize(docs: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> DataFrame:
-    """Blocks of all documents; with ``on_error='skip'`` also rows that hold an error instead of text."""
+    """Blocks of all documents; with ``on_error='skip'`` also rows that hold an error instead of text.
+
+    Documents are read once: the parser sees the contents of those that need it, and null of others."""
     found = detect(docs, config.type)
-    plain = found.filter(F.col("format").isin(*PLAIN)).select(
-        "doc_id",
+    plain = F.struct(
         F.lit(0).alias("block_index"),
         F.when(F.col("is_string"), F.coalesce("text", F.lit(""))).otherwise(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"),
         F.lit(False).alias("is_visual"),
@@ -94,8 +113,12 @@ def normalize(docs: DataFrame, config: NormalizeConfig = NormalizeConfig()) -> D
         F.lit(None).cast(ERROR).alias("error"),
     )
     if config.type in PLAIN:
-        return plain
-    return plain.unionByName(_parsed(found.filter(~F.col("format").isin(*PLAIN)), config))
+        return found.select("doc_id", plain.alias("b")).select("doc_id", "b.*")
+    is_plain = F.col("format").isin(*PLAIN)
+    needed = [F.when(~is_plain, F.col(c)).alias(f"_{c}") for c in ("content", "text")]
+    parsed = _parser(config)("doc_id", "format", *needed, "filename", "mime_type")
+    blocks = F.when(is_plain, F.array(plain)).otherwise(parsed).cast(_BLOCKS)
+    return found.select("doc_id", F.explode(blocks).alias("b")).select("doc_id", "b.*")
 
 
 def csv_table_of(df: DataFrame, columns: list[str], order: list[str], by: list[str] | None = None) -> DataFrame:
