@@ -1,7 +1,9 @@
 """The lazy chain normalize -> chunk -> extract -> merge.
 
 A chain is an immutable value that holds settings only; ``run`` composes DataFrames, and nothing is
-computed before an action.  ``events`` is the chain's whole course as one table.
+computed before an action.  ``events`` is the chain's whole course as one table; as its phases and
+the merge have to show the same answers, those of a Python model are written to the shared folder
+of ``spark.checkpoint.dir`` first, which calls the model once a chunk when ``events`` is called.
 """
 
 from __future__ import annotations
@@ -13,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ..config import ChunkConfig, ExtractConfig, MergeConfig, NormalizeConfig
 from ..operators.chunk import chunk as chunk_blocks
+from ..operators.extract import NativeModel, extract_vision
 from ..operators.extract import extract as extract_chunks
-from ..operators.extract import extract_vision
 from ..operators.merge import merge as merge_extractions
 from ..operators.normalize import normalize as normalize_docs
 from ..schemas import ERROR
+from ..sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -77,8 +80,13 @@ class Extracted:
         """(doc_id, result); several extractions of a document are concatenated."""
         return self.merge().run(docs)
 
+    def _course(self, docs: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+        """The steps' tables for several readers: a Python model has answered for good."""
+        blocks, chunks, found = self._steps(docs)
+        return blocks, chunks, found if isinstance(self.config.model, NativeModel) else written(found, "answers")
+
     def events(self, docs: DataFrame | None = None) -> DataFrame:
-        return _numbered(_extract_events(*self._steps(_given(docs, self.docs))))
+        return _numbered(_extract_events(*self._course(_given(docs, self.docs))))
 
 
 @dataclass(frozen=True)
@@ -95,7 +103,7 @@ class Merged:
 
     def events(self, docs: DataFrame | None = None) -> DataFrame:
         docs = _given(docs, self.extracted.docs)
-        blocks, chunks, found = self.extracted._steps(docs)
+        blocks, chunks, found = self.extracted._course(docs)
         done = merge_extractions(found, self.config, docs)
         last = _event(done, "merging", 3, F.lit(0), F.lit(0), done=F.lit(True), value=_json(done, "result"))
         return _numbered(_extract_events(blocks, chunks, found).unionByName(last))
@@ -139,10 +147,11 @@ def _block_events(blocks: DataFrame) -> DataFrame:
 
 
 def _extract_events(blocks: DataFrame | None, chunks: DataFrame | None, found: DataFrame) -> DataFrame:
-    partial = found.select("doc_id", "index", F.posexplode("partials").alias("_k", "_v"))
-    out = _event(partial, "extracting", 2, F.col("index"), F.col("_k"), done=F.lit(False), value=F.col("_v"))
-    last = _event(found, "extracting", 2, F.col("index"), F.size("partials"), done=F.col("error").isNull(), value=F.when(F.col("error").isNull(), _json(found, "data")), error=F.col("error"))
-    out = out.unionByName(last)
+    well = F.col("error").isNull()
+    answer = F.struct(F.size("partials").alias("part"), F.when(well, _json(found, "data")).alias("value"), well.alias("done"), F.col("error").alias("error"))
+    partials = F.transform("partials", lambda v, k: F.struct(k.alias("part"), v.alias("value"), F.lit(False).alias("done"), F.lit(None).cast(ERROR).alias("error")))
+    rows = found.select("doc_id", "index", F.explode(F.concat(partials, F.array(answer))).alias("e"))
+    out = _event(rows, "extracting", 2, F.col("index"), F.col("e.part"), done=F.col("e.done"), value=F.col("e.value"), error=F.col("e.error"))
     if chunks is not None:
         out = _event(chunks, "chunking", 1, F.col("index"), F.lit(0), text=F.col("text")).unionByName(out)
     return out if blocks is None else _block_events(blocks).unionByName(out)

@@ -144,6 +144,34 @@ def test_chain_and_documents_without_result(spark):
     assert chain.bind(docs).run().count() == 2
 
 
+class Counted:
+    """Counts its calls in a file, and answers with their number."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def generate(self, prompt, *, system, schema, **options):
+        with open(self.path, "ab") as f:
+            f.write(b".")
+            f.flush()
+            n = f.tell()
+        yield f"part {n}"
+        yield f"answer {n}"
+
+
+def test_events_call_a_model_once_a_chunk(spark, tmp_path):
+    calls = tmp_path / "calls"
+    docs = docs_of(spark, text("one\ntwo"), text("bad"))
+    chain = normalize(NormalizeConfig(type="text")).chunk(ChunkConfig("row", max_chars=4)).extract(ExtractConfig("markdown", "p", model=Counted(str(calls)), concurrency=1)).merge()
+    got = chain.events(docs).orderBy("doc_id", "seq").collect()
+    assert calls.stat().st_size == 3
+    first = [r for r in got if r.doc_id == 0]
+    assert [(r.phase, r.done) for r in first] == [("normalizing", None), ("chunking", None), ("chunking", None), ("extracting", False), ("extracting", True), ("extracting", False), ("extracting", True), ("merging", True)]
+    answers = [r.value for r in first if r.phase == "extracting"]
+    assert [a.replace("part", "answer") for a in answers[::2]] == answers[1::2]
+    assert first[-1].value == "\n\n---\n\n".join(answers[1::2])
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
@@ -153,6 +181,9 @@ def test_plans(spark, sf_dir):
     blocks = normalize(NormalizeConfig(type="text")).run(docs)
     c = chunk(blocks, ChunkConfig("sliding", max_chars=1000))
     assert exchanges(c) == 1
+    for whole in (normalize().run(docs), chunk(blocks, ChunkConfig("auto"))):
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Scan parquet") == 1  # documents are read once, whatever their route
     e = extract(c, ExtractConfig("markdown", "p", model=NativeModel(lambda p, t: t)))
     assert exchanges(merge(e)) == 1  # windows and the merge share one exchange
     scan = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.length("text").alias("n")).filter("doc_id > 5")
