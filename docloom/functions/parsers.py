@@ -6,11 +6,15 @@ import csv
 import email
 import email.policy
 import io
+import math
 import re
 import zipfile
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
+from itertools import groupby, islice, pairwise
 from xml.etree import ElementTree
 
 # ------------------------------------------------------------------------------------ tables, csv
@@ -27,25 +31,33 @@ def markdown_table(rows: list[list[str]], escape: bool = False) -> str:
     return "\n".join([line(rows[0]), line(["---"] * len(rows[0])), *map(line, rows[1:])])
 
 
+# Fields may be as long as their documents.
+csv.field_size_limit(2**31 - 1)
+
+
+def _rows(text: str, sign: str) -> Iterator[list[str]]:
+    return (r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sign) if r and r != [""])
+
+
 def delimiter_of(text: str) -> str:
-    """The sign that cuts the first lines into equal numbers of fields, most fields first."""
-    best, most = ",", 1
+    """The sign under which the widths of the first ten rows change least from row to row.
+
+    It has to make two fields a row on average; a sign further down the list needs more of them than
+    the one before it, with no more change.  Rows are read whole, however long."""
+    best, wide, change = ",", 1.99, math.inf
     for sign in (",", "\t", "|", ";", "\x1e", "\x1f"):
-        widths = []
-        for row in csv.reader(io.StringIO(text[:65536], newline=""), delimiter=sign):
-            if row:
-                widths.append(len(row))
-            if len(widths) == 10:
-                break
-        if widths and widths[0] > most and len(set(widths)) == 1:
-            best, most = sign, widths[0]
+        widths = [len(r) for r in islice(_rows(text, sign), 10)]
+        if not widths:
+            continue
+        mean, changes = sum(widths) / len(widths), sum(abs(x - y) for x, y in pairwise(widths))
+        if mean > wide and changes <= change:
+            best, wide, change = sign, mean, changes
     return best
 
 
 def csv_table(text: str, escape: bool = False) -> str:
     text = text.removeprefix("﻿")
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter_of(text)) if r and r != [""]]
-    return markdown_table(rows, escape)
+    return markdown_table(list(_rows(text, delimiter_of(text))), escape)
 
 
 # ------------------------------------------------------------------------------------------- html
@@ -54,6 +66,7 @@ def csv_table(text: str, escape: bool = False) -> str:
 _AROUND = {"p": 2, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "ul": 2, "ol": 2, "table": 2, "pre": 2, "blockquote": 2, "hr": 2, "dl": 2}
 _LINES = frozenset("div section article header footer main nav aside address form fieldset figure figcaption li dt dd tr body html center details summary".split())
 _DROPPED = frozenset("script style head title noscript template img iframe svg object select textarea button".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 class _Text(HTMLParser):
@@ -61,7 +74,11 @@ class _Text(HTMLParser):
 
     def __init__(self, tables: bool):
         super().__init__(convert_charrefs=True)
-        self.tables, self.out, self.gap, self.skip = tables, [], 0, 0
+        self.tables, self.out, self.gap = tables, [], 0
+        #: Open elements, how many of each name, and the depth of the outermost dropped one.
+        self.open: list[str] = []
+        self.count: Counter[str] = Counter()
+        self.skip: int | None = None
         self.lists: list[int | None] = []
         self.grids: list[list[list[list[str]]]] = []
         self.pre = 0
@@ -93,10 +110,14 @@ class _Text(HTMLParser):
             sink.append(text)
 
     def handle_starttag(self, tag, attrs):
-        if tag in _DROPPED:
-            self.skip += tag not in ("img",)
-            return
-        if self.skip:
+        if tag == "body" and self.count["head"]:
+            self.handle_endtag("head")
+        if tag not in _VOID:
+            self.open.append(tag)
+            self.count[tag] += 1
+            if tag in _DROPPED and self.skip is None:
+                self.skip = len(self.open) - 1
+        if self.skip is not None or tag in _DROPPED:
             return
         if tag == "br":
             self._break(1)
@@ -128,10 +149,14 @@ class _Text(HTMLParser):
             self.pre += tag == "pre"
 
     def handle_endtag(self, tag):
-        if tag in _DROPPED:
-            self.skip = max(0, self.skip - 1)
-            return
-        if self.skip:
+        if self.count[tag]:
+            while (last := self.open.pop()) != tag:
+                self.count[last] -= 1
+            self.count[tag] -= 1
+            # a dropped element without an end of its own ends with the one around it
+            if self.skip is not None and len(self.open) <= self.skip:
+                self.skip = None
+        if self.skip is not None or tag in _DROPPED:
             return
         if tag == "table" and self.tables and self.grids:
             grid = self.grids.pop()
@@ -146,7 +171,7 @@ class _Text(HTMLParser):
             self._break(_AROUND.get(tag, 1))
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skip is None:
             self._write(data if self.pre else re.sub(r"[ \t\r\n\f]+", " ", data))
 
     def text(self) -> str:
@@ -174,6 +199,7 @@ def html_text(html: str, preserve_tables: bool = True) -> str:
 
 
 def email_text(data: bytes, headers: bool = True) -> str:
+    """Header lines that are there, a blank line, and the plain body, or else the text of the HTML one."""
     m = email.message_from_bytes(data, policy=email.policy.default)
     out = []
     if headers:
@@ -186,10 +212,10 @@ def email_text(data: bytes, headers: bool = True) -> str:
                 out.append("Date: " + when.astimezone(_utc()).strftime("%Y-%m-%dT%H:%M:%S.") + f"{when.microsecond // 1000:03d}Z")
             except (TypeError, ValueError):
                 pass
-        if out:
-            out.append("")
-    body = m.get_body(preferencelist=("plain",))
-    return "\n".join([*out, body.get_content().replace("\r\n", "\n") if body else ""])
+        out.append("")
+    body = m.get_body(preferencelist=("plain", "html"))
+    text = body.get_content().replace("\r\n", "\n") if body else ""
+    return "\n".join([*out, html_text(text) if body and body.get_content_subtype() == "html" else text])
 
 
 def _utc():
@@ -251,34 +277,77 @@ def xlsx_sheets(data: bytes, sheets="all", escape: bool = False) -> list[tuple[s
     return out
 
 
+#: Signs that mean something in markdown.
+_MARKS = re.compile(r"[\\`*_{}\[\]()#+\-.!]")
+
+
+def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
+    return ElementTree.fromstring(z.read(name)) if name in z.namelist() else ElementTree.Element("none")
+
+
+def _value(e: ElementTree.Element | None, path: str = "", default: str | None = None) -> str | None:
+    """Attribute val of the element at ``path`` below ``e``."""
+    found = e.find("/".join(_W + p for p in path.split("/"))) if e is not None and path else e
+    return default if found is None else found.get(_W + "val", default)
+
+
+def _ordered_levels(z: zipfile.ZipFile) -> dict[tuple[str, str], bool]:
+    """(list, level) -> whether it counts."""
+    root = _part(z, "word/numbering.xml")
+    kinds = {a.get(_W + "abstractNumId"): {v.get(_W + "ilvl"): _value(v, "numFmt") for v in a.iter(_W + "lvl")} for a in root.iter(_W + "abstractNum")}
+    return {(n.get(_W + "numId"), level): kind not in ("bullet", "none", None) for n in root.iter(_W + "num") for level, kind in kinds.get(_value(n, "abstractNumId"), {}).items()}
+
+
+def _run_text(run: ElementTree.Element) -> str:
+    shown = {_W + "tab": "\t", _W + "br": "  \n"}
+    return "".join(shown.get(t.tag) or _MARKS.sub(r"\\\g<0>", t.text or "") for t in run if t.tag == _W + "t" or t.tag in shown)
+
+
+def _inline(p: ElementTree.Element, links: dict[str, str]) -> str:
+    """Runs of a paragraph; neighbours of one style are marked together."""
+    runs = []
+    for child in p:
+        href = links.get(child.get(_R + "id")) if child.tag == _W + "hyperlink" else None
+        for r in child.iter(_W + "r"):
+            on = [_value(r, f"rPr/{k}", "1") if r.find(f"{_W}rPr/{_W}{k}") is not None else "0" for k in ("b", "i")]
+            if text := _run_text(r):
+                runs.append((href, *(x not in ("0", "false") for x in on), text))
+    out = ""
+    for href, linked in groupby(runs, key=lambda r: r[0]):
+        text = ""
+        for (_, bold, italic), same in groupby(linked, key=lambda r: r[:3]):
+            mark = "__" * bold, "*" * italic
+            text += "".join(mark) + "".join(r[3] for r in same) + "".join(reversed(mark))
+        out += f"[{text}]({href})" if href else text
+    return out
+
+
 def docx_markdown(data: bytes) -> str:
-    """Paragraphs as markdown: headings, bold, italic, lists."""
+    """Paragraphs as markdown: headings, bold, italic, links, bullets and counted lists; signs escaped."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    out = []
-    for p in ElementTree.fromstring(z.read("word/document.xml")).iter(_W + "p"):
-        text = ""
-        for r in p.iter(_W + "r"):
-            run = "".join(("\t" if t.tag == _W + "tab" else "\n" if t.tag == _W + "br" else t.text or "") for t in r if t.tag in (_W + "t", _W + "tab", _W + "br"))
-            style = r.find(_W + "rPr")
-            if run and style is not None:
-                on = {k for k in ("b", "i") if (e := style.find(_W + k)) is not None and e.get(_W + "val", "1") not in ("0", "false")}
-                run = ("__" if "b" in on else "") + ("*" if "i" in on else "") + run + ("*" if "i" in on else "") + ("__" if "b" in on else "")
-            text += run
+    links = {r.get("Id"): r.get("Target") for r in _part(z, "word/_rels/document.xml.rels") if r.get("TargetMode") == "External"}
+    ordered = _ordered_levels(z)
+    counts: list[int] = []  # items of the open list, by depth
+    joined, before = "", None
+    for p in _part(z, "word/document.xml").iter(_W + "p"):
+        text = _inline(p, links)
         if not text.strip():
             continue
         props = p.find(_W + "pPr")
-        name = props.find(_W + "pStyle") if props is not None else None
-        level = re.fullmatch(r"[Hh]eading\s?([1-6])", name.get(_W + "val", "")) if name is not None else None
+        level = re.fullmatch(r"[Hh]eading\s?([1-6])", _value(props, "pStyle", ""))
         listed = props is not None and props.find(_W + "numPr") is not None
         if level:
             text = "#" * int(level[1]) + " " + text
-        elif listed:
-            depth = props.find(f"{_W}numPr/{_W}ilvl")
-            text = "  " * int(depth.get(_W + "val", "0") if depth is not None else 0) + "- " + text
-        out.append((listed, text))
-    joined = ""
-    for k, (listed, text) in enumerate(out):
-        joined += ("" if not k else "\n" if listed and out[k - 1][0] else "\n\n") + text
+        if level or not listed:
+            counts, listed = [], False
+        else:
+            at = _value(props, "numPr/ilvl", "0")
+            counts = [*counts[: int(at) + 1], *[0] * (int(at) + 1 - len(counts))]
+            counts[-1] += 1
+            bullet = f"{counts[-1]}." if ordered.get((_value(props, "numPr/numId"), at)) else "-"
+            text = "\t" * int(at) + f"{bullet} {text}"
+        joined += ("" if before is None else "\n" if listed and before else "\n\n") + text
+        before = listed
     return joined
 
 

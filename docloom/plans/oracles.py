@@ -125,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
   'Date: 2024-01-01T08:00:00.000Z' || {_NL} || {_NL} || regexp_replace(text, '[\\r\\n]+', ' ', 'g') || {_NL} AS text FROM conversations""",
         "xlsx_sheets": f"""SELECT n_regionkey::BIGINT AS doc_id, 0::BIGINT AS block_index, 'nations' AS sheet, '| key | name |' || {_NL} || '| --- | --- |' || {_NL} || string_agg({cells.format("n_nationkey || ' | ' || n_name")}, {_NL} ORDER BY n_nationkey) AS text FROM nation GROUP BY 1
   UNION ALL SELECT DISTINCT n_regionkey::BIGINT, 1, 'empty', '' FROM nation""",
-        "docx_markdown": f"SELECT s_nationkey::BIGINT AS doc_id, '## Nation ' || s_nationkey || {_NL} || {_NL} || string_agg('- __' || s_name || '__', {_NL} ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey",
+        "docx_markdown": f"SELECT s_nationkey::BIGINT AS doc_id, '## Nation ' || s_nationkey || {_NL} || {_NL} || string_agg('- __' || regexp_replace(s_name, '([\\\\`*_{{}}\\[\\]()#+.!-])', '\\\\\\1', 'g') || '__', {_NL} ORDER BY s_suppkey) AS text FROM supplier GROUP BY s_nationkey",
         "pdf_text": f"""SELECT doc_id, CASE WHEN length(t) > 50 THEN t ELSE 'scanned' END AS text, length(t) <= 50 AS is_visual, 'pdf' AS format
   FROM (SELECT min(p_partkey) AS doc_id, string_agg(p_name, {_NL} ORDER BY p_partkey) AS t FROM part GROUP BY p_brand, p_size)""",
         "image_ocr": "SELECT s_suppkey AS doc_id, (8 + octet_length(encode(s_name))) || ' bytes of unnamed (unknown)' AS text, true AS is_visual FROM supplier",

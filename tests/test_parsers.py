@@ -1,9 +1,12 @@
+import io
+import zipfile
+
 import pytest
 
 from docloom.backends import FakeOcr, HttpOcr
 from docloom.config import ChunkConfig, ExtractConfig, MergeConfig, NormalizeConfig
 from docloom.errors import NormalizeError
-from docloom.functions.parsers import csv_table, email_text, html_text, pdf_text
+from docloom.functions.parsers import csv_table, docx_markdown, email_text, html_text, pdf_text
 from docloom.operators.normalize import parse_one
 from docloom.plans.json_schema import issues, spark_type
 from docloom.plans.queries import _pdf, _xlsx
@@ -14,6 +17,9 @@ def test_csv():
     assert csv_table("a\tb\n1\t2") == "| a | b |\n| --- | --- |\n| 1 | 2 |"
     assert csv_table("") == ""
     assert csv_table("a|b,c\n1,2") == "| a|b | c |\n| --- | --- |\n| 1 | 2 |"
+    long = "x" * 200_000
+    assert csv_table(f"a;b\n{long};1\n" + f"c;{long}\n" * 9).startswith("| a | b |")
+    assert csv_table("a;b;c\n1;2;3\n1;2\n4;5;6") == "| a | b | c |\n| --- | --- | --- |\n| 1 | 2 | 3 |\n| 1 | 2 |\n| 4 | 5 | 6 |"
     assert csv_table("a|b,c\n1,2", escape=True).startswith("| a\\|b | c |")
 
 
@@ -22,13 +28,44 @@ def test_html():
     assert html_text(html) == "Big one\n\nSee this & that\nnow\n\n1. a\n2. b"
     assert html_text("<table><tr><th>k</th><th>v</th></tr><tr><td>long</td><td>1</td></tr></table>") == "k      v\nlong   1"
     assert html_text("") == ""
+    assert html_text("<div><select><option>no</div><p>yes<button>no<span>no</p>and</p>") == "yes\n\nand"
+    assert html_text("<head><title>no</title><body>yes<svg><g></svg> still") == "yes still"
+    deep = "<div>" * 50_000 + "x" + "</div>" * 50_000
+    assert html_text(deep) == "x"
 
 
 def test_email():
     raw = b"From: a@x.org\nTo: b@x.org, c@x.org\nDate: Mon, 1 Jan 2024 00:00:00 +0100\n\nhi\n"
     assert email_text(raw) == "From: a@x.org\nTo: b@x.org, c@x.org\nDate: 2023-12-31T23:00:00.000Z\n\nhi\n"
     assert email_text(raw, headers=False) == "hi\n"
-    assert email_text(b"Subject: s\nContent-Type: text/html\n\n<p>x</p>") == "Subject: s\n\n"
+    assert email_text(b"Subject: s\nContent-Type: text/html\n\n<p>x</p>") == "Subject: s\n\nx"
+    both = b"Content-Type: multipart/alternative; boundary=q\n\n--q\nContent-Type: text/html\n\n<p>h</p>\n--q\nContent-Type: text/plain\n\np\n--q--\n"
+    assert email_text(both).strip() == "p" and email_text(both).startswith("\n")
+
+
+def _docx(body: str, numbering: str = "", rels: str = "") -> bytes:
+    w, r = "http://schemas.openxmlformats.org/wordprocessingml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}" xmlns:r="{r}"><w:body>{body}</w:body></w:document>')
+        z.writestr("word/numbering.xml", f'<w:numbering xmlns:w="{w}">{numbering}</w:numbering>')
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{rels}</Relationships>")
+    return out.getvalue()
+
+
+def test_docx():
+    def p(text, num=None, level=0, style=""):
+        props = f'<w:pPr><w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{num}"/></w:numPr></w:pPr>' if num else style
+        return f"<w:p>{props}<w:r><w:t>{text}</w:t></w:r></w:p>"
+
+    kinds = "".join(f'<w:abstractNum w:abstractNumId="{k}"><w:lvl w:ilvl="0"><w:numFmt w:val="{a}"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="{b}"/></w:lvl></w:abstractNum>' for k, (a, b) in enumerate([("decimal", "bullet"), ("bullet", "decimal")]))
+    numbering = kinds + "".join(f'<w:num w:numId="{k + 5}"><w:abstractNumId w:val="{k}"/></w:num>' for k in range(2))
+    body = p("one", 5) + p("in", 5, 1) + p("two", 5) + p("a_b (c)") + p("dot", 6) + p("x", 6, 1) + p("y", 6, 1)
+    assert docx_markdown(_docx(body, numbering)) == "1. one\n\t- in\n2. two\n\na\\_b \\(c\\)\n\n- dot\n\t1. x\n\t2. y"
+    bold = "<w:r><w:rPr><w:b/></w:rPr><w:t>%s</w:t></w:r>"
+    link = '<w:hyperlink r:id="r1"><w:r><w:t>here</w:t></w:r></w:hyperlink>'
+    rel = '<Relationship Id="r1" Target="http://a.org/x" TargetMode="External"/>'
+    assert docx_markdown(_docx(f"<w:p>{bold % 'a'}{bold % 'b'}<w:r><w:t> see </w:t></w:r>{link}</w:p>", "", rel)) == "__ab__ see [here](http://a.org/x)"
 
 
 def test_sheets_by_id():
