@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..config import ExtractConfig
 from ..errors import ExtractionError
-from ..plans.json_schema import issues, spark_type
+from ..plans.json_schema import issues, native_issues, resolved, spark_type
 from ..schemas import ERROR
 from .prompt import system_prompt, with_prompts
 
@@ -43,7 +43,11 @@ def _finish(texts: list[str], schema: dict | None) -> str:
     if not texts:
         raise ValueError("the model gave no answer")
     if schema is not None:
-        found = issues(json.loads(texts[-1]), schema)
+        try:
+            value = json.loads(texts[-1])
+        except json.JSONDecodeError:
+            raise ValueError("the answer is not JSON") from None
+        found = issues(value, schema)
         if found:
             raise ValueError("; ".join(found))
     return texts[-1]
@@ -63,7 +67,7 @@ _RAW = f"raw string, partials array<string>, error {ERROR}"
 
 def _call_model(rows: DataFrame, config: ExtractConfig, columns: list[str], call: Callable[[Any], Any]) -> DataFrame:
     """Append raw, partials and error to ``columns``; ``call`` gets a row."""
-    schema = dict(config.schema) if config.output == "schema" else None
+    schema = resolved(config.schema) if config.output == "schema" else None
     policy, width = config.on_chunk_error, config.concurrency
     keep = rows.select(*columns).schema
 
@@ -99,22 +103,14 @@ class _Row:
         self.__dict__.update(zip(names, values))
 
 
-def _native_error(data: Column, corrupt: Column, schema: dict) -> Column:
-    """The same errors where the model is native: broken JSON, wrong types, missing or odd values."""
-    found = []
-
-    def walk(s: dict, c: Column, at: str) -> None:
-        for k in s.get("required", []):
-            inner = s.get("properties", {}).get(k, {})
-            found.append(F.when(c.isNotNull() & c[k].isNull(), F.lit(f"{at}{k} is missing")))
-            if inner.get("type") == "object" and inner.get("properties"):
-                walk(inner, c[k], f"{at}{k}.")
-        for k, inner in s.get("properties", {}).items():
-            if "enum" in inner:
-                found.append(F.when(c[k].isNotNull() & ~c[k].isin(list(inner["enum"])), F.lit(f"{at}{k} is none of {', '.join(map(str, inner['enum']))}")))
-
-    walk(schema, data, "")
-    message = F.when(corrupt.isNotNull(), F.lit("not JSON of the schema")).otherwise(F.nullif(F.concat_ws("; ", *found), F.lit("")) if found else F.lit(None))
+def _native_error(raw: Column, schema: dict) -> Column:
+    """What ``_finish`` says, where the model is native."""
+    value = F.try_parse_json(raw)
+    message = (
+        F.when(raw.isNull(), F.lit("the model gave no answer"))
+        .when(value.isNull(), F.lit("the answer is not JSON"))
+        .otherwise(F.nullif(F.array_join(native_issues(value, schema), "; "), F.lit("")))
+    )
     return F.when(
         message.isNotNull(),
         F.struct(F.lit("ValueError").alias("class"), message.alias("message"), F.lit("extract").alias("phase"), F.lit(None).cast("string").alias("format")),
@@ -125,7 +121,7 @@ def typed(rows: DataFrame, config: ExtractConfig) -> DataFrame:
     """``raw`` as ``data``: the schema's type, or the text."""
     if config.output == "markdown":
         return rows.withColumn("data", F.col("raw"))
-    kind = spark_type(dict(config.schema))
+    kind = spark_type(resolved(config.schema))
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
         return rows.withColumn("data", F.from_json("raw", kind))
     if isinstance(kind, T.VariantType):
@@ -140,21 +136,17 @@ def extract(chunks: DataFrame, config: ExtractConfig) -> DataFrame:
     rows = with_prompts(chunks, config)
     columns = chunks.columns
     if isinstance(config.model, NativeModel):
+        if callable(config.on_chunk_error):
+            raise ValueError("a native model has no process that could call on_chunk_error: 'skip' or 'throw'")
         out = rows.withColumn("raw", config.model.function(F.col("prompt"), F.col("text"))).withColumn("partials", F.array().cast("array<string>"))
-        kind = spark_type(dict(config.schema)) if config.output == "schema" else None
-        if isinstance(kind, T.StructType):
-            checked = T.StructType([*kind.fields, T.StructField("_corrupt", T.StringType())])
-            out = out.withColumn("_parsed", F.from_json("raw", checked, {"columnNameOfCorruptRecord": "_corrupt"}))
-            missing = F.when(F.col("raw").isNull(), F.lit("")).otherwise(F.col("_parsed._corrupt"))
-            out = out.withColumn("error", _native_error(F.col("_parsed"), missing, dict(config.schema)))
-            if config.on_chunk_error == "throw":
-                out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("extraction failed for chunk "), F.col("index").cast("string"), F.lit(": "), F.col("error.message"))).cast(ERROR)))
-            data = F.when(F.col("error").isNull(), F.struct(*(F.col("_parsed")[f.name].alias(f.name) for f in kind.fields)))
-            return out.withColumn("data", data).select(*columns, "data", "raw", "partials", "error")
-        out = out.withColumn("error", F.lit(None).cast(ERROR))
-        return typed(out, config).select(*columns, "data", "raw", "partials", "error")
+        error = _native_error(F.col("raw"), resolved(config.schema)) if config.output == "schema" else F.lit(None).cast(ERROR)
+        out = typed(out.withColumn("error", error), config)
+        if config.on_chunk_error == "throw":
+            told = F.concat(F.lit("extraction failed for chunk "), F.col("index").cast("string"), F.lit(": "), F.col("error.message"))
+            out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(told).cast(ERROR)))
+        return out.withColumn("data", F.when(F.col("error").isNull(), F.col("data"))).select(*columns, "data", "raw", "partials", "error")
     model, system, options = config.model, system_prompt(config), dict(config.generation_options)
-    schema = dict(config.schema) if config.output == "schema" else None
+    schema = resolved(config.schema) if config.output == "schema" else None
 
     def call(row):
         return model.generate(row.prompt, **({"system": system, "schema": schema} | options))
@@ -167,7 +159,7 @@ def extract_vision(docs: DataFrame, config: ExtractConfig) -> DataFrame:
     if config.vision_model is None:
         raise ValueError("vision extraction needs a vision model")
     model, system, options, prompt = config.vision_model, system_prompt(config), dict(config.generation_options), config.prompt
-    schema = dict(config.schema) if config.output == "schema" else None
+    schema = resolved(config.schema) if config.output == "schema" else None
     source = F.struct(F.lit("image").alias("format"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("sheet"), F.col("filename"))
     rows = docs.select(
         "doc_id",

@@ -1,14 +1,55 @@
-"""JSON Schema: as Spark types, and as a check of values."""
+"""JSON Schema: as Spark types, and as a check of values, in Python and as a column.
+
+Both checks know the same keywords and say the same; schemas are given to them ``resolved``.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SIMPLE = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType()}
 
 
+def resolved(schema: Mapping, root: Mapping | None = None, above: tuple[str, ...] = ()) -> dict:
+    """The schema with what its ``$ref`` name inside it in their place."""
+    root = schema if root is None else root
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        if not ref.startswith("#") or ref in above:
+            raise ValueError(f"{ref} is outside the schema" if not ref.startswith("#") else f"{ref} refers to itself, which no Spark type can hold")
+        found: Any = root
+        for key in ref[1:].split("/")[1:]:
+            found = found[key.replace("~1", "/").replace("~0", "~")]
+        return resolved({**found, **{k: v for k, v in schema.items() if k != "$ref"}}, root, (*above, ref))
+    out = dict(schema)
+    for key in ("items", "additionalProperties"):
+        if isinstance(out.get(key), Mapping):
+            out[key] = resolved(out[key], root, above)
+    for key in ("anyOf", "oneOf", "allOf"):
+        if key in out:
+            out[key] = [resolved(s, root, above) for s in out[key]]
+    if "properties" in out:
+        out["properties"] = {k: resolved(s, root, above) for k, s in out["properties"].items()}
+    return out
+
+
+def _united(schema: dict) -> dict:
+    """A schema and all of its allOf as one, as far as its type goes."""
+    out = {k: v for k, v in schema.items() if k != "allOf"}
+    for part in map(_united, schema.get("allOf", [])):
+        out = out | part | ({"properties": out["properties"] | part["properties"]} if "properties" in out and "properties" in part else {})
+    return out
+
+
 def _without_null(schema: dict) -> tuple[dict | None, bool]:
     """(the schema besides null, whether null is allowed); None for unions of several others."""
     kind = schema.get("type")
@@ -24,7 +65,7 @@ def _without_null(schema: dict) -> tuple[dict | None, bool]:
 
 def spark_type(schema: dict) -> T.DataType:
     """The type of values of a schema; what has no one type is a VARIANT."""
-    inner, _ = _without_null(schema)
+    inner, _ = _without_null(_united(schema))
     if inner is None:
         return T.VariantType()
     kind = inner.get("type")
@@ -57,29 +98,31 @@ def _is(value: Any, kind: str) -> bool:
 
 
 def issues(value: Any, schema: dict, at: str = "") -> list[str]:
-    """What is wrong with a value (type, enum, const, required, properties, items, limits, unions)."""
+    """What is wrong with a value: type, enum, const, required, properties, items, limits, pattern,
+    unions.  Properties come in the schema's order, then others by name."""
     where = at or "value"
+    out = [x for part in schema.get("allOf", []) for x in issues(value, part, at)]
     for key in ("anyOf", "oneOf"):
         if key in schema:
-            return [] if any(not issues(value, s, at) for s in schema[key]) else [f"{where} fits none of its types"]
+            return out + ([] if any(not issues(value, s, at) for s in schema[key]) else [f"{where} fits none of its types"])
     kind = schema.get("type")
     kinds = kind if isinstance(kind, list) else [kind] if kind else []
     if kinds and not any(_is(value, k) for k in kinds):
-        return [f"{where} is not {' or '.join(kinds)}"]
-    out = []
-    if "enum" in schema and value not in schema["enum"]:
+        return [*out, f"{where} is not {' or '.join(kinds)}"]
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{where} is none of {', '.join(map(str, schema['enum']))}")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and not _same(value, schema["const"]):
         out.append(f"{where} is not {schema['const']}")
     if isinstance(value, dict):
-        out += [f"{at + '.' if at else ''}{k} is missing" for k in schema.get("required", []) if k not in value]
-        known = schema.get("properties", {})
-        for k, v in value.items():
-            inner = known.get(k, schema.get("additionalProperties"))
+        below = f"{at}." if at else ""
+        out += [f"{below}{k} is missing" for k in schema.get("required", []) if k not in value]
+        known, other = schema.get("properties", {}), schema.get("additionalProperties")
+        for k in [*(k for k in known if k in value), *sorted(k for k in value if k not in known)]:
+            inner = known.get(k, other)
             if isinstance(inner, dict):
-                out += issues(v, inner, f"{at}.{k}" if at else k)
+                out += issues(value[k], inner, below + k)
             elif inner is False:
-                out.append(f"{at + '.' if at else ''}{k} is not expected")
+                out.append(f"{below}{k} is not expected")
     if isinstance(value, list):
         if isinstance(schema.get("items"), dict):
             for i, v in enumerate(value):
@@ -91,7 +134,131 @@ def issues(value: Any, schema: dict, at: str = "") -> list[str]:
     if isinstance(value, str):
         if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)):
             out.append(f"{where} has a wrong length")
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            out.append(f"{where} does not match {schema['pattern']}")
     if _is(value, "number"):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
             out.append(f"{where} is out of range")
     return out
+
+
+def _same(a: Any, b: Any) -> bool:
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+# ------------------------------------------------------------------------------- the same, natively
+
+
+def _get(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def _kind(v: Column) -> Column:
+    """Name of the value's type; a JSON null is VOID whether it is a variant or none."""
+    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+
+
+def _is_native(v: Column, kind: str) -> Column:
+    name = _kind(v)
+    number = name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
+    value = _get(v, "double")
+    return {
+        "string": name == "STRING",
+        "integer": number & (value == F.rint(value)),
+        "number": number,
+        "boolean": name == "BOOLEAN",
+        "null": name == "VOID",
+        "array": name.startswith("ARRAY"),
+        "object": name.startswith("OBJECT"),
+    }.get(kind, F.lit(True))
+
+
+def _same_native(v: Column, constant: Any) -> Column:
+    if constant is None:
+        same = _is_native(v, "null")
+    elif isinstance(constant, bool):
+        same = _is_native(v, "boolean") & (_get(v, "boolean") == F.lit(constant))
+    elif isinstance(constant, (int, float)):
+        same = _is_native(v, "number") & (_get(v, "double") == F.lit(float(constant)))
+    elif isinstance(constant, str):
+        same = _is_native(v, "string") & (_get(v, "string") == F.lit(constant))
+    else:
+        same = F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(constant))))
+    return F.coalesce(same, F.lit(False))
+
+
+def native_issues(v: Column, schema: dict, at: Column | None = None) -> Column:
+    """``issues`` of a VARIANT column, as an array of texts."""
+    none = F.array().cast("array<string>")
+    where = F.lit("value") if at is None else at
+    found: list[Column] = []
+
+    def say(wrong: Column, *message: Column) -> Column:
+        return F.when(wrong, F.array(F.concat(*message))).otherwise(none)
+
+    def all_of(parts: list[Column]) -> Column:
+        return F.concat(*parts) if parts else none
+
+    first = [native_issues(v, part, at) for part in schema.get("allOf", [])]
+    for key in ("anyOf", "oneOf"):
+        if key in schema:
+            fits = reduce(or_, (F.size(native_issues(v, s, at)) == 0 for s in schema[key]), F.lit(False))
+            return all_of([*first, say(~fits, where, F.lit(" fits none of its types"))])
+    if "enum" in schema:
+        known_value = reduce(or_, (_same_native(v, x) for x in schema["enum"]), F.lit(False))
+        found.append(say(~known_value, where, F.lit(" is none of " + ", ".join(map(str, schema["enum"])))))
+    if "const" in schema:
+        found.append(say(~_same_native(v, schema["const"]), where, F.lit(f" is not {schema['const']}")))
+    found += _native_members(v, schema, at, say, none)
+    found += _native_items(v, schema, at, say, none)
+    if schema.keys() & {"minLength", "maxLength", "pattern"}:
+        text, is_text = _get(v, "string"), _is_native(v, "string")
+        n = F.length(text)
+        wrong = (n < schema.get("minLength", 0)) | (n > schema["maxLength"] if "maxLength" in schema else F.lit(False))
+        found.append(say(is_text & wrong, where, F.lit(" has a wrong length")))
+        if "pattern" in schema:
+            found.append(say(is_text & ~text.rlike(schema["pattern"]), where, F.lit(f" does not match {schema['pattern']}")))
+    if schema.keys() & {"minimum", "maximum"}:
+        value = _get(v, "double")
+        low = value < float(schema["minimum"]) if "minimum" in schema else F.lit(False)
+        high = value > float(schema["maximum"]) if "maximum" in schema else F.lit(False)
+        found.append(say(_is_native(v, "number") & (low | high), where, F.lit(" is out of range")))
+    kind = schema.get("type")
+    kinds = kind if isinstance(kind, list) else [kind] if kind else []
+    inner = all_of(found)
+    if kinds:
+        fits = reduce(or_, (_is_native(v, k) for k in kinds))
+        inner = F.when(F.coalesce(fits, F.lit(False)), inner).otherwise(F.array(F.concat(where, F.lit(f" is not {' or '.join(kinds)}"))))
+    return all_of([*first, inner])
+
+
+def _native_members(v: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
+    known, other = schema.get("properties", {}), schema.get("additionalProperties")
+    is_object, members = _is_native(v, "object"), _get(v, "map<string,variant>")
+
+    def path(key: Column) -> Column:
+        return key if at is None else F.concat(at, F.lit("."), key)
+
+    out = [say(is_object & ~F.map_contains_key(members, k), path(F.lit(k)), F.lit(" is missing")) for k in schema.get("required", [])]
+    out += [F.when(is_object & F.map_contains_key(members, k), native_issues(members[k], s, path(F.lit(k)))).otherwise(none) for k, s in known.items()]
+    if other is False or isinstance(other, dict):
+        odd = F.array_sort(F.filter(F.map_keys(members), lambda k: ~k.isin(list(known)) if known else F.lit(True)))
+        tell = (lambda k: F.array(F.concat(path(k), F.lit(" is not expected")))) if other is False else (lambda k: native_issues(members[k], other, path(k)))
+        out.append(F.when(is_object, F.flatten(F.transform(odd, tell))).otherwise(none))
+    return out
+
+
+def _native_items(v: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
+    out, where = [], F.lit("value") if at is None else at
+    is_array, items = _is_native(v, "array"), _get(v, "array<variant>")
+    if isinstance(schema.get("items"), dict):
+
+        def one(x: Column, i: Column) -> Column:
+            return native_issues(x, schema["items"], F.concat(*([] if at is None else [at]), F.lit("["), i.cast("string"), F.lit("]")))
+
+        out.append(F.when(is_array, F.flatten(F.transform(items, one))).otherwise(none))
+    if "minItems" in schema:
+        out.append(say(is_array & (F.size(items) < schema["minItems"]), where, F.lit(" has too few items")))
+    if "maxItems" in schema:
+        out.append(say(is_array & (F.size(items) > schema["maxItems"]), where, F.lit(" has too many items")))
+    return out

@@ -101,7 +101,48 @@ def test_extraction_policies(spark):
         extract(c, ExtractConfig("schema", "p", model=Model(), schema=SCHEMA, on_chunk_error="throw")).collect()
     native = extract(c, ExtractConfig("schema", "p", model=NativeModel(lambda p, t: t), schema=SCHEMA)).orderBy("index").collect()
     assert [x.data.a if x.data else None for x in native] == [1, None, None, None]
-    assert [x.error is None for x in native] == [True, False, False, False]
+    assert [x.error and x.error["message"] for x in native] == [None, "the answer is not JSON", "a is missing", "the answer is not JSON"]
+    with pytest.raises(Exception, match="extraction failed for chunk 1"):
+        extract(c, ExtractConfig("schema", "p", model=NativeModel(lambda p, t: t), schema=SCHEMA, on_chunk_error="throw")).collect()
+
+
+def test_native_and_python_checks_say_the_same(spark):
+    from docloom.plans.json_schema import issues, native_issues, resolved
+
+    schema = {
+        "type": "object",
+        "$defs": {"code": {"type": "string", "minLength": 2, "maxLength": 3, "pattern": "^[a-z]+$"}},
+        "properties": {
+            "a": {"type": "integer", "minimum": 1, "maximum": 9}, "b": {"type": ["string", "null"]}, "c": {"$ref": "#/$defs/code"}, "d": {"enum": ["x", 1, True, None]}, "e": {"const": 2},
+            "f": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "object", "properties": {"k": {"type": "number"}}, "required": ["k"], "additionalProperties": False}},
+            "g": {"anyOf": [{"type": "boolean"}, {"type": "array", "items": {"type": "string"}}]}, "h": {"type": "object", "additionalProperties": {"type": "integer"}}, "i": {"allOf": [{"type": "string"}, {"minLength": 2}]},
+        },
+        "required": ["a", "b"],
+        "additionalProperties": False,
+    }
+    values = [
+        {"a": 1, "b": None}, {"b": "x"}, {"a": 1}, {"a": 1.0, "b": ""}, {"a": 1.5, "b": 3}, {"a": 0, "b": "x", "zz": 1, "y": 2}, {"a": 10, "b": None, "c": "a"}, {"a": 2, "b": None, "c": "abcd"},
+        {"a": 2, "b": None, "c": "AB"}, {"a": 2, "b": None, "c": None}, {"a": 2, "b": None, "d": "x", "e": 2}, {"a": 2, "b": None, "d": 1.0, "e": 2.0}, {"a": 2, "b": None, "d": True, "e": "2"},
+        {"a": 2, "b": None, "d": None}, {"a": 2, "b": None, "d": False}, {"a": 2, "b": None, "f": []}, {"a": 2, "b": None, "f": [{"k": 1}, {"k": "1"}, {"l": 1}]}, {"a": 2, "b": None, "f": {"k": 1}},
+        {"a": 2, "b": None, "f": [None, {"k": None}]}, {"a": 2, "b": None, "g": True}, {"a": 2, "b": None, "g": ["s"]}, {"a": 2, "b": None, "g": [1]}, {"a": 2, "b": None, "h": {"q": 1, "p": "x", "o": None}},
+        {"a": 2, "b": None, "i": "x"}, {"a": 2, "b": None, "i": 5}, {"a": 12345678901234567890123, "b": "é"}, [1], "text", None, 5, True,
+    ]
+    import json
+
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, raw string")
+    for s in (schema, {"type": "array", "items": {"type": "integer"}}, {"type": ["integer", "null"]}, {}, {"enum": [[1], "text"]}):
+        s = resolved(s)
+        got = {r.k: r.found for r in rows.select("k", native_issues(F.try_parse_json("raw"), s).alias("found")).collect()}
+        for k, v in enumerate(values):
+            assert got[k] == issues(v, s), (s, v)
+    with pytest.raises(ValueError):
+        resolved({"$defs": {"t": {"type": "array", "items": {"$ref": "#/$defs/t"}}}, "$ref": "#/$defs/t"})
+
+
+def test_a_native_model_has_no_callback(spark):
+    c = chunk(blocks_of(spark, "x"), ChunkConfig("none"))
+    with pytest.raises(ValueError):
+        extract(c, ExtractConfig("markdown", "p", model=NativeModel(lambda p, t: t), on_chunk_error=print))
 
 
 def merged(spark, ddl, values, config=MergeConfig()):
