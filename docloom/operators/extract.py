@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..config import ExtractConfig
 from ..errors import ExtractionError
-from ..plans.json_schema import issues, native_issues, resolved, spark_type
+from ..plans.json_schema import issues, let, native_issues, resolved, spark_type
 from ..schemas import ERROR
 from .prompt import system_prompt, with_prompts
 
@@ -105,16 +105,17 @@ class _Row:
 
 def _native_error(raw: Column, schema: dict) -> Column:
     """What ``_finish`` says, where the model is native."""
-    value = F.try_parse_json(raw)
-    message = (
-        F.when(raw.isNull(), F.lit("the model gave no answer"))
-        .when(value.isNull(), F.lit("the answer is not JSON"))
-        .otherwise(F.nullif(F.array_join(native_issues(value, schema), "; "), F.lit("")))
-    )
-    return F.when(
-        message.isNotNull(),
-        F.struct(F.lit("ValueError").alias("class"), message.alias("message"), F.lit("extract").alias("phase"), F.lit(None).cast("string").alias("format")),
-    )
+
+    def told(value: Column) -> Column:
+        found = F.nullif(F.array_join(native_issues(value, schema), "; "), F.lit(""))
+        return F.when(value.isNull(), F.lit("the answer is not JSON")).otherwise(found)
+
+    message = F.when(raw.isNull(), F.lit("the model gave no answer")).otherwise(let(F.try_parse_json(raw), told))
+
+    def error(m: Column) -> Column:
+        return F.when(m.isNotNull(), F.struct(F.lit("ValueError").alias("class"), m.alias("message"), F.lit("extract").alias("phase"), F.lit(None).cast("string").alias("format")))
+
+    return let(message, error)
 
 
 def typed(rows: DataFrame, config: ExtractConfig) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from operator import or_
 from typing import Any
@@ -153,18 +153,26 @@ def _get(v: Column, kind: str) -> Column:
     return F.try_variant_get(v, "$", kind)
 
 
-def _kind(v: Column) -> Column:
-    """Name of the value's type; a JSON null is VOID whether it is a variant or none."""
-    return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function(value)`` with the value computed once, however often the function uses it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
-def _is_native(v: Column, kind: str) -> Column:
-    name = _kind(v)
+def _member(v: Column, key: str) -> Column:
+    """A member as a VARIANT; null if it isn't there, a JSON null if it is null."""
+    for quote in ("'", '"'):
+        if quote not in key:
+            return F.try_variant_get(v, f"$[{quote}{key}{quote}]", "variant")
+    members = _get(v, "map<string,variant>")
+    return F.when(F.map_contains_key(members, key), F.coalesce(members[key], F.parse_json(F.lit("null"))))
+
+
+def _is_native(v: Column, name: Column, kind: str) -> Column:
+    """``name`` is the value's type, VOID for a JSON null."""
     number = name.isin("BIGINT", "DOUBLE") | name.startswith("DECIMAL")
-    value = _get(v, "double")
     return {
         "string": name == "STRING",
-        "integer": number & (value == F.rint(value)),
+        "integer": F.when(number, _get(v, "double") == F.rint(_get(v, "double"))).otherwise(False),
         "number": number,
         "boolean": name == "BOOLEAN",
         "null": name == "VOID",
@@ -173,22 +181,25 @@ def _is_native(v: Column, kind: str) -> Column:
     }.get(kind, F.lit(True))
 
 
-def _same_native(v: Column, constant: Any) -> Column:
+def _same_native(v: Column, name: Column, constant: Any) -> Column:
     if constant is None:
-        same = _is_native(v, "null")
-    elif isinstance(constant, bool):
-        same = _is_native(v, "boolean") & (_get(v, "boolean") == F.lit(constant))
-    elif isinstance(constant, (int, float)):
-        same = _is_native(v, "number") & (_get(v, "double") == F.lit(float(constant)))
-    elif isinstance(constant, str):
-        same = _is_native(v, "string") & (_get(v, "string") == F.lit(constant))
-    else:
-        same = F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(constant))))
-    return F.coalesce(same, F.lit(False))
+        return _is_native(v, name, "null")
+    if isinstance(constant, (bool, int, float, str)):
+        kind, cast = ("boolean", bool) if isinstance(constant, bool) else ("string", str) if isinstance(constant, str) else ("number", float)
+        return _is_native(v, name, kind) & (_get(v, "double" if kind == "number" else kind) == F.lit(cast(constant)))
+    return F.coalesce(F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(constant)))), F.lit(False))
 
 
 def native_issues(v: Column, schema: dict, at: Column | None = None) -> Column:
     """``issues`` of a VARIANT column, as an array of texts."""
+    name = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    if schema == {"type": "string"}:  # the commonest leaf needs no binding
+        wrong = F.concat(F.lit("value") if at is None else at, F.lit(" is not string"))
+        return F.when(name == "STRING", F.array().cast("array<string>")).otherwise(F.array(wrong))
+    return let(F.struct(v.alias("value"), name.alias("name")), lambda x: _native_issues(x["value"], x["name"], schema, at))
+
+
+def _native_issues(v: Column, name: Column, schema: dict, at: Column | None) -> Column:
     none = F.array().cast("array<string>")
     where = F.lit("value") if at is None else at
     found: list[Column] = []
@@ -205,14 +216,14 @@ def native_issues(v: Column, schema: dict, at: Column | None = None) -> Column:
             fits = reduce(or_, (F.size(native_issues(v, s, at)) == 0 for s in schema[key]), F.lit(False))
             return all_of([*first, say(~fits, where, F.lit(" fits none of its types"))])
     if "enum" in schema:
-        known_value = reduce(or_, (_same_native(v, x) for x in schema["enum"]), F.lit(False))
+        known_value = reduce(or_, (_same_native(v, name, x) for x in schema["enum"]), F.lit(False))
         found.append(say(~known_value, where, F.lit(" is none of " + ", ".join(map(str, schema["enum"])))))
     if "const" in schema:
-        found.append(say(~_same_native(v, schema["const"]), where, F.lit(f" is not {schema['const']}")))
-    found += _native_members(v, schema, at, say, none)
-    found += _native_items(v, schema, at, say, none)
+        found.append(say(~_same_native(v, name, schema["const"]), where, F.lit(f" is not {schema['const']}")))
+    found += _native_members(v, name, schema, at, say, none)
+    found += _native_items(v, name, schema, at, say, none)
     if schema.keys() & {"minLength", "maxLength", "pattern"}:
-        text, is_text = _get(v, "string"), _is_native(v, "string")
+        text, is_text = _get(v, "string"), _is_native(v, name, "string")
         n = F.length(text)
         wrong = (n < schema.get("minLength", 0)) | (n > schema["maxLength"] if "maxLength" in schema else F.lit(False))
         found.append(say(is_text & wrong, where, F.lit(" has a wrong length")))
@@ -222,35 +233,40 @@ def native_issues(v: Column, schema: dict, at: Column | None = None) -> Column:
         value = _get(v, "double")
         low = value < float(schema["minimum"]) if "minimum" in schema else F.lit(False)
         high = value > float(schema["maximum"]) if "maximum" in schema else F.lit(False)
-        found.append(say(_is_native(v, "number") & (low | high), where, F.lit(" is out of range")))
+        found.append(say(_is_native(v, name, "number") & (low | high), where, F.lit(" is out of range")))
     kind = schema.get("type")
     kinds = kind if isinstance(kind, list) else [kind] if kind else []
     inner = all_of(found)
     if kinds:
-        fits = reduce(or_, (_is_native(v, k) for k in kinds))
+        fits = reduce(or_, (_is_native(v, name, k) for k in kinds))
         inner = F.when(F.coalesce(fits, F.lit(False)), inner).otherwise(F.array(F.concat(where, F.lit(f" is not {' or '.join(kinds)}"))))
     return all_of([*first, inner])
 
 
-def _native_members(v: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
+def _native_members(v: Column, name: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
     known, other = schema.get("properties", {}), schema.get("additionalProperties")
-    is_object, members = _is_native(v, "object"), _get(v, "map<string,variant>")
+    is_object = _is_native(v, name, "object")
 
     def path(key: Column) -> Column:
         return key if at is None else F.concat(at, F.lit("."), key)
 
-    out = [say(is_object & ~F.map_contains_key(members, k), path(F.lit(k)), F.lit(" is missing")) for k in schema.get("required", [])]
-    out += [F.when(is_object & F.map_contains_key(members, k), native_issues(members[k], s, path(F.lit(k)))).otherwise(none) for k, s in known.items()]
+    out = [say(is_object & _member(v, k).isNull(), path(F.lit(k)), F.lit(" is missing")) for k in schema.get("required", [])]
+    out += [F.when(is_object & _member(v, k).isNotNull(), native_issues(_member(v, k), s, path(F.lit(k)))).otherwise(none) for k, s in known.items()]
     if other is False or isinstance(other, dict):
-        odd = F.array_sort(F.filter(F.map_keys(members), lambda k: ~k.isin(list(known)) if known else F.lit(True)))
-        tell = (lambda k: F.array(F.concat(path(k), F.lit(" is not expected")))) if other is False else (lambda k: native_issues(members[k], other, path(k)))
-        out.append(F.when(is_object, F.flatten(F.transform(odd, tell))).otherwise(none))
+
+        def odd(members: Column) -> Column:
+            keys = F.array_sort(F.filter(F.map_keys(members), lambda k: ~k.isin(list(known)) if known else F.lit(True)))
+            if other is False:
+                return F.transform(keys, lambda k: F.concat(path(k), F.lit(" is not expected")))
+            return F.flatten(F.transform(keys, lambda k: native_issues(members[k], other, path(k))))
+
+        out.append(F.when(is_object, let(_get(v, "map<string,variant>"), odd)).otherwise(none))
     return out
 
 
-def _native_items(v: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
+def _native_items(v: Column, name: Column, schema: dict, at: Column | None, say, none: Column) -> list[Column]:
     out, where = [], F.lit("value") if at is None else at
-    is_array, items = _is_native(v, "array"), _get(v, "array<variant>")
+    is_array, items = _is_native(v, name, "array"), _get(v, "array<variant>")
     if isinstance(schema.get("items"), dict):
 
         def one(x: Column, i: Column) -> Column:
