@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 
 import pytest
@@ -87,6 +88,24 @@ def test_pdf_falls_back_to_ocr_at_fifty_characters():
         parse_one("image", b"x", None, None, None, NormalizeConfig())
 
 
+def test_pdf_streams_whose_last_byte_is_a_line_end():
+    """The checksum of a deflated stream may end in any byte, and a stream's length is what it states."""
+    lasts = set()
+    for k in range(3000):
+        lines = [f"part {k} of a longer list", "cold ring", "large gizmo"]
+        made = _pdf(lines)
+        lasts.add(made[made.index(b"\nendstream") - 1])
+        assert pdf_text(made) == "\n".join(lines)
+    assert {10, 13} <= lasts
+    # without a length, with a wrong one and with one that is held elsewhere
+    for length in (b"", b"/Length 7", b"/Length 5 0 R"):
+        assert pdf_text(re.sub(rb"/Length \d+", length, made)) == "\n".join(lines)
+    shown = b"BT (the word endstream) Tj ET"
+    assert pdf_text(b"%%PDF-1.4\n<< /Length %d >>\nstream\n%s\nendstream" % (len(shown), shown)) == "the word endstream"
+    assert pdf_text(made.replace(b"\nendstream", b"").replace(b"endobj", b"endstream")) == "\n".join(lines)
+    assert pdf_text(made[: made.index(b"\nendstream") - 9] + b"\nendstream") == ""
+
+
 def test_http_backend_request_and_answer():
     b = HttpOcr("http://host/", formula_enable=False)
     body, kind = b.body(b"DATA", None, "image/png")
