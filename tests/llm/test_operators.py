@@ -465,6 +465,59 @@ def test_many_children_keep_the_frequent_ones():
     assert len(a.children) == 8 and max(a.children, key=lambda c: c.pages).label == "always"
 
 
+def test_all_template_texts_of_long_lists_count(spark):
+    """A block with hundreds of constant texts is template to its last one, broadcast or joined."""
+    from docloom.llm.wrappers import extract
+
+    def body(k):
+        return " ".join(f"w{k}x{j}" for j in range(20)), " ".join(f"v{k}x{j}" for j in range(20))
+
+    entries = "".join(f"<p>Entry {j} of all</p>" for j in range(700))
+    rows = [(k, "http://h.example/", "<div class=z><p>{0}</p>{2}<p>{1}</p></div>".format(*body(k), entries)) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for limit in (1 << 20, 0):
+        assert {r.page_id: r.text for r in extract(pages, broadcast_bytes=limit).collect()} == {k: "\n".join(body(k)) for k in range(40)}
+
+
+def test_all_template_blocks_of_wide_pages_count(spark):
+    """Hundreds of named blocks side by side are template to the last one, also beside others that vary."""
+    from docloom.llm import wrappers
+
+    def names(k, n):
+        return ["".join("bcdfghjklm"[int(x)] for x in f"{(k * 7 + j):03}") for j in range(n)]
+
+    def page(k):
+        blocks = "".join(f"<div class={x}>Entry {x} of all</div>" for x in names(0, 700))
+        return f"<div class=z><p>Text {k} of this page</p>" + "".join(f"<section class=q{x}>Part {k} {x}</section>" for x in names(k, 2)) + blocks + "</div>"
+
+    rows = [(k, "http://h.example/", page(k)) for k in range(40)]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == {k: "\n".join([f"Text {k} of this page", *(f"Part {k} {x}" for x in names(k, 2))]) for k in range(40)}
+    # what none of the sampled contents has goes, what one of them has stays
+    slot = lambda k, label: wrappers.Slot("d", 1, 1, 0, (), [wrappers.Slot(label, 1, sample=[(k, 0, [])]), wrappers.Slot("always", 1, sample=[(k, 0, [])])], [(k, 0, [])])
+    a = slot(0, "once")
+    for k in range(1, 60):
+        wrappers.fold(a, slot(k, "once" + "q" * k), room=8)
+    assert len(a.children) == wrappers.SKETCH + 1
+
+
+def test_wide_matching_is_the_same(monkeypatch):
+    from docloom.llm import wrappers
+
+    rng = random.Random(12)
+    for _ in range(300):
+        a, b = ([rng.choice(["p.x", "p.y", "q.x", "q", "r"]) for _ in range(rng.randrange(30))] for _ in range(2))
+        pages = [[rng.randrange(1, 5) for _ in x] for x in (a, b)]
+        found = []
+        for wide in (1 << 14, 0):
+            monkeypatch.setattr(wrappers, "WIDE", wide)
+            weight = lambda i, j: (a[i] == b[j]) * pages[0][i]  # noqa: B023, E731
+            got = wrappers.aligned(range(len(a)), range(len(b)), weight)
+            assert got == wrappers.aligned(range(len(a)), range(len(b)), weight, (a, b))
+            found.append([got, *(wrappers.tag_pairs(a, b, got[1], pages[1 - of_a], of_a) for of_a in (True, False))])
+        assert found[0] == found[1]
+
+
 def test_extraction_on_odd_pages(spark):
     from docloom.llm.wrappers import extract
 
