@@ -7,9 +7,9 @@ an insult with a group mention: two terms that are harmless alone push the score
 Terms are the lower-case words and, since insults are inflected, the first four to six letters of
 longer words; a term that a document holds more than once gives a second term, since a stem that
 clean texts have by chance is telling when it comes again.  Only ``n_terms`` informative terms (by labelled document frequency) keep weights,
-so long documents do not add up noise.  Training is on the driver over at most ``max_rows``
-labelled rows, of which only hashed term ids are collected; scoring is one narrow Arrow pass with
-a broadcast model whose size is fixed by ``n_terms`` and ``rank``.
+so long documents do not add up noise.  Training is one task on an executor over at most ``max_rows``
+labelled rows, of which only hashed term ids are shuffled; the driver gets the model, whose size is
+fixed by ``n_terms`` and ``rank``, and scoring is one narrow Arrow pass with the model broadcast.
 
 Defined cases: null or empty text has no terms and gets the bias score; with no labelled rows, or
 rows of one class only, every score is the prior of the rows (0 if there are none).
@@ -38,7 +38,7 @@ _WORD = re.compile(rb"[a-z\x80-\xff]+")
 class FMParams:
     #: Most labelled rows that are fitted (a documented bound; chosen by a hash of the id).
     max_rows: int = 8_192
-    #: Most bytes of their term ids that the driver takes.
+    #: Most bytes of their term ids that the training task takes.
     max_bytes: int = 64 << 20
     #: Hash space of the terms.
     bits: int = 23
@@ -127,8 +127,8 @@ class Terms(dict):
 def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> FMModel:
     """Fit on (id, text, label) rows: the ``params.max_rows`` of them with the least id hashes.
 
-    Only sorted 4-byte term ids travel to the driver, not texts, and of the rows as many as
-    ``params.max_bytes`` hold."""
+    Only sorted 4-byte term ids travel to the task that trains, not texts, and of the rows as many
+    as ``params.max_bytes`` hold; nothing but the model reaches the driver."""
     rows = pick(labelled, i=id_col, t=text_col, y=label_col).filter("y is not null").withColumn("h", F.xxhash64("i"))
     bits = params.bits
 
@@ -151,13 +151,24 @@ def fit(labelled: DataFrame, params: FMParams = FMParams(), *, id_col: str = "do
                 return
             room -= int(sizes[-1]) if n else 0
 
-    schema = "h long, y int, terms binary"
-    got = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(tidy(hashed), schema).orderBy("h", "y", "terms").limit(params.max_rows).mapInArrow(bounded, schema).collect()
-    return train([np.frombuffer(r.terms, "<i4") for r in got], np.array([float(r.y > 0) for r in got]), params)
+    def trained(batches):
+        docs, y = [], []
+        for b in bounded(batches):
+            docs += [np.frombuffer(t, "<i4") for t in b.column(2).to_pylist()]
+            y += [float(label > 0) for label in b.column(1).to_pylist()]
+        m = train(docs, np.array(y), params)
+        yield pa.RecordBatch.from_pydict({"terms": [m.terms.tobytes()], "w0": [m.w0], "w": [m.w.tobytes()], "v": [m.v.tobytes()]})
+
+    hashes = rows.select("h", F.col("y").cast("int").alias("y"), "t").mapInArrow(tidy(hashed), "h long, y int, terms binary")
+    got = hashes.orderBy("h", "y", "terms").limit(params.max_rows).mapInArrow(tidy(trained), "terms binary, w0 double, w binary, v binary").collect()
+    if not got:  # no rows and no task
+        return train([], np.zeros(0), params)
+    m = got[0]
+    return FMModel(np.frombuffer(m.terms, np.int64), m.w0, np.frombuffer(m.w), np.frombuffer(m.v).reshape(-1, params.rank))
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams()) -> FMModel:
-    """AdaGrad over the logistic loss, full batches, deterministic."""
+    """AdaGrad over the logistic loss, full batches, deterministic; docs: sorted unique term ids of each."""
     none = FMModel(np.zeros(0, np.int64), -35.0, np.zeros(0), np.zeros((0, params.rank)))
     if not len(y) or y.min() == y.max():
         return none if not len(y) or y.max() == 0 else FMModel(none.terms, 35.0, none.w, none.v)
@@ -167,17 +178,27 @@ def train(docs: list[np.ndarray], y: np.ndarray, params: FMParams = FMParams())
     def held(of):  # a document holds a term once
         return np.unique(np.concatenate([np.zeros(0, np.int32), *of]), return_counts=True)
 
-    found, n = held(docs)
-    some, k = held([d for d, label in zip(docs, y) if label])
-    toxic = np.zeros(len(found), np.int64)
-    toxic[np.searchsorted(found, some)] = k
-    chance = 2 * math.log(max(2, len(found)))
-    found, n, toxic = (x[n >= 2] for x in (found, n, toxic))
-    worth = _g2(toxic.astype(float), pos, (n - toxic).astype(float), neg)
+    # counted by ranges of the ids, so that what is sorted at once is a small part of them
+    cuts = np.linspace(0, 1 + max((int(d[-1]) for d in docs if len(d)), default=0), 17).astype(np.int64)
+    at = [np.searchsorted(d, cuts) for d in docs]
+    parts, distinct = [], 0
+    for k in range(len(cuts) - 1):
+        here = [d[a[k] : a[k + 1]] for d, a in zip(docs, at)]
+        found, n = held(here)
+        some, m = held([d for d, label in zip(here, y) if label])
+        toxic = np.zeros(len(found), np.int64)
+        toxic[np.searchsorted(found, some)] = m
+        distinct += len(found)
+        found, n, toxic = (x[n >= 2] for x in (found, n, toxic))
+        worth = _g2(toxic.astype(float), pos, (n - toxic).astype(float), neg)
+        best = np.sort(np.argsort(-worth, kind="stable")[: params.n_terms])
+        parts.append((found[best], worth[best]))
+    chance = 2 * math.log(max(2, distinct))
+    found, worth = (np.concatenate(x) for x in zip(*parts))
     best = np.argsort(-worth, kind="stable")[: params.n_terms]
     best = best[(worth[best] > 0) & ((worth[best] >= chance) | (np.arange(len(best)) < params.least_terms))]
     terms = np.sort(found[best]).astype(np.int64)
-    del found, n, some, k, toxic, worth
+    del here, at
     kept = []
     for d in docs:
         at = np.searchsorted(terms, d)

@@ -943,6 +943,46 @@ def test_toxicity_held_out_recall_and_precision(spark):
     assert hit >= 0.9 * sum(r.predicted for r in rows)
 
 
+def test_training_brings_only_the_model_to_the_driver(spark, monkeypatch):
+    from docloom.llm.toxicity import FMParams, Terms, fit, train
+
+    params, rng = FMParams(n_terms=32, epochs=20), np.random.default_rng(0)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    rows = []
+    for k in range(300):
+        own = " ".join(f"w{k * 400 + j}" for j in range(400)).translate(letters)
+        rows.append((k, f"{own} {' '.join('abcdef'[: rng.integers(6)])} {'good' if k % 3 else 'vile'}", int(k % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    terms = Terms(params.bits)
+    held = [(terms.of(r.text.encode()).astype("<i4"), float(r.label)) for r in df.orderBy(F.xxhash64("doc_id")).collect()]
+    assert sum(d.nbytes for d, _ in held) > 500_000
+
+    sent, plain = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: sent.extend(got := plain(self)) or got)
+    got = fit(df, params)
+    assert len(sent) == 1
+    assert sum(len(x) for r in sent for x in r if isinstance(x, bytes | bytearray)) <= 32 * (8 + 8 + 8 * params.rank)
+    want = train([d for d, _ in held], np.array([y for _, y in held]), params)
+    assert got.w0 == want.w0 and all((getattr(got, k) == getattr(want, k)).all() for k in ("terms", "w", "v"))
+    assert len(got.terms) and got.scores([np.arange(1)]).shape == (1,)
+
+
+def test_terms_are_chosen_over_all_ranges_of_ids():
+    """As by one count over all terms, ties going to the lesser id."""
+    from docloom.llm.toxicity import FMParams, _g2, train
+
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 3000, 40) * rng.integers(1, 5000)).astype("<i4") for _ in range(200)] + [np.zeros(0, "<i4")]
+    y = (np.arange(201) % 4 == 0).astype(float)
+    found, n = np.unique(np.concatenate(docs), return_counts=True)
+    toxic = np.array([sum(t in d for d, x in zip(map(set, docs), y) if x) for t in found[n >= 2]])
+    worth = _g2(toxic.astype(float), y.sum(), (n[n >= 2] - toxic).astype(float), len(y) - y.sum())
+    for params in (FMParams(epochs=1, n_terms=10), FMParams(epochs=1, least_terms=500)):
+        best = np.argsort(-worth, kind="stable")[: params.n_terms]
+        best = best[(worth[best] > 0) & ((worth[best] >= 2 * np.log(len(found))) | (np.arange(len(best)) < params.least_terms))]
+        assert train(docs, y, params).terms.tolist() == sorted(found[n >= 2][best].tolist())
+
+
 def test_labels_of_absent_documents_take_no_room(spark):
     from docloom.llm.toxicity import FMParams, fit, labelled_rows
 
